@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import n_words, settle
 
 #: Rows of a (source, bucket) group, on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def source_targets(sized: DataFrame, weights=(5.0, 2.0, 1.0), most: float = 3.0) -> DataFrame:
