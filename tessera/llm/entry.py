@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, html_text, mixing, packing, pii, quality, topk
+from . import chat, exact_dedup, html_text, mixing, packing, pii, quality, repeats, topk
 from .common import table
 
 
@@ -45,6 +45,10 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_mixing": op7_mixing,
         "op8_quality": op8_quality,
         "op9_html": op9_html,
+        "op10_repeats": op10_repeats,
     }
 
 
@@ -85,8 +90,8 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 OP3_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(cast(x AS DOUBLE) * 256)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, x -> x IS NOT NULL AND isfinite(x)))
+  SELECT vec_id, list_transform(embedding, lambda x: floor(cast(x AS DOUBLE) * 256)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, cast(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
 )
