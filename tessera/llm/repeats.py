@@ -35,8 +35,6 @@ doc_id only are ordered by a hash of their texts; an empty table gives no rows;
 from __future__ import annotations
 
 import hashlib
-import heapq
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,38 +44,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
+from .external import BYTE, NONE, ODD, RUN, Sorter, dealt, doc_group, expand, mix, record
 
 GRAM = 32
 #: Bytes of text that one array operation takes at once.
 CHUNK = 1 << 21
 #: Bytes of text for each group of suffixes and of documents, on average.
-GROUP_BYTES = 8 << 20
-#: Tuples of a sorted run in memory.
-RUN = 1 << 21
-
-_rng = np.random.default_rng(20_240_229)
-_BYTE = _rng.integers(0, 2**64, 256, np.uint64)
-_ODD = _rng.integers(0, 2**63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
-NONE = np.int64(-(2**63))
-SUFFIX = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("part", "<i8"), ("pos", "<i8")])
-
+GROUPBYTES = 8 << 20
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(31))
-    h = h * _ODD[14]
-    h ^= h >> np.uint64(29)
-    h *= _ODD[15]
-    return h ^ (h >> np.uint64(32))
+SUFFIX = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("part", "<i8"), ("pos", "<i8")])
 
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """Hashes of the size-byte strings from each place, by doubling (size a power of two)."""
-    h = _BYTE[data]
+    h = BYTE[data]
     step, k = 1, 0
     while step < size:
-        h = h[:-step] * _ODD[k] + h[step:]
+        h = h[:-step] * ODD[k] + h[step:]
         step, k = 2 * step, k + 1
-    return _mix(h)
+    return mix(h)
 
 
 def sampled(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,111 +93,6 @@ def sampled(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(places), np.concatenate(hashes)) if places else (np.empty(0, np.int64), np.empty(0, np.uint64))
 
 
-def squeeze(rows: np.ndarray, level: int = 1) -> bytes:
-    """A structured array, column by column, integers but hashes as differences."""
-    parts = []
-    for name in rows.dtype.names:
-        c = np.ascontiguousarray(rows[name])
-        parts.append((c if name == "hash" or c.ndim > 1 or c.dtype.kind != "i" else np.diff(c, prepend=c.dtype.type(0))).tobytes())
-    return zstandard.compress(b"".join(parts), level)
-
-
-def expand(blob: bytes, kind: np.dtype) -> np.ndarray:
-    raw = zstandard.decompress(blob)
-    n, at = len(raw) // kind.itemsize, 0
-    rows = np.empty(n, kind)
-    for name in kind.names:
-        base, shape = (kind[name].subdtype or (kind[name], ()))[:2]
-        count = n * int(np.prod(shape, dtype=np.int64))
-        c = np.frombuffer(raw, base, count, at).reshape(n, *shape)
-        at += count * base.itemsize
-        rows[name] = c if name == "hash" or shape or base.kind != "i" else np.cumsum(c, dtype=base)
-    return rows
-
-
-def doc_group(doc: np.ndarray, part: np.ndarray, groups: int) -> np.ndarray:
-    return (_mix(doc.astype(np.uint64) * _ODD[12] + part.astype(np.uint64)) % np.uint64(groups)).astype(np.int32)
-
-
-def dealt(group: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(group, blob) of the rows of each group, their order kept."""
-    order = np.argsort(group, kind="stable")
-    group, rows = group[order], rows[order]
-    cuts = np.flatnonzero(np.diff(group, prepend=-1))
-    for lo, hi in zip(cuts, [*cuts[1:], len(rows)], strict=False):
-        yield int(group[lo]), squeeze(rows[lo:hi])
-
-
-def record(pairs: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([g for g, _ in pairs], pa.int32()), pa.array([b for _, b in pairs], pa.binary())], ["g", "blob"])
-
-
-class Sorter:
-    """Sorts structured rows by (hash, doc, part, pos) in runs; full runs go to disk and are merged through a priority queue."""
-
-    def __init__(self, kind: np.dtype, run: int = RUN):
-        self.kind, self.run, self.rows, self.held = kind, run, [], 0
-        self.file, self.runs = None, []
-
-    def add(self, rows: np.ndarray) -> None:
-        self.rows.append(rows)
-        self.held += len(rows)
-        if self.held >= self.run:
-            self._spill()
-
-    def _sorted(self) -> np.ndarray:
-        rows = np.concatenate(self.rows) if self.rows else np.empty(0, self.kind)
-        self.rows, self.held = [], 0
-        return rows[np.lexsort((rows["pos"], rows["part"], rows["doc"], rows["hash"]))]
-
-    def _spill(self) -> None:
-        self.file = self.file or tempfile.TemporaryFile()
-        rows = self._sorted()
-        self.runs.append([self.file.tell(), len(rows)])
-        self.file.write(rows.tobytes())
-
-    def blocks(self, block: int = 1 << 17) -> Iterator[np.ndarray]:
-        """The rows in order; a hash is never split over two blocks."""
-        if not self.runs:
-            if len(rows := self._sorted()):
-                yield rows
-            return
-        if self.rows:
-            self._spill()
-        queue: list[tuple[int, int]] = []  # (last hash in memory, run) of the runs that have more on disk
-        loaded = [np.empty(0, self.kind) for _ in self.runs]
-
-        def load(i: int) -> None:
-            at, n = self.runs[i]
-            take = min(block, n)
-            self.file.seek(at)
-            loaded[i] = np.concatenate([loaded[i], np.frombuffer(self.file.read(take * self.kind.itemsize), self.kind)])
-            self.runs[i] = [at + take * self.kind.itemsize, n - take]
-            if n > take:
-                heapq.heappush(queue, (int(loaded[i]["hash"][-1]), i))
-
-        def ready(limit: int | None) -> np.ndarray:
-            """Takes the rows below the limit out of memory, in order."""
-            found = []
-            for i, rows in enumerate(loaded):
-                n = len(rows) if limit is None else int(np.searchsorted(rows["hash"], np.uint64(limit)))
-                found.append(rows[:n])
-                loaded[i] = rows[n:]
-            rows = np.concatenate(found)
-            return rows[np.lexsort((rows["pos"], rows["part"], rows["doc"], rows["hash"]))]
-
-        for i in range(len(self.runs)):
-            load(i)
-        while queue:
-            limit, i = heapq.heappop(queue)  # below it, all rows of all runs are in memory
-            rows = ready(limit)
-            load(i)
-            if len(rows):
-                yield rows
-        if len(rows := ready(None)):
-            yield rows
-
-
 def around(kind_width: int) -> np.dtype:
     """A suffix with the bytes on both sides of its gram; left and right: how many of them its document has."""
     return np.dtype([*SUFFIX.descr, ("left", "u1"), ("right", "u1"), ("bytes", "u1", (kind_width,))])
@@ -229,9 +109,9 @@ def first_and_repeats(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     key = np.zeros(len(rows), np.uint64)
     wide = np.pad(view, ((0, 0), (0, -view.shape[1] % 8))).view("<u8")
     for j in range(wide.shape[1]):
-        key = (key + wide[:, j]) * _ODD[11]
+        key = (key + wide[:, j]) * ODD[11]
         key ^= key >> np.uint64(32)
-    key = _mix(key * _ODD[10] + rows["hash"] + rows["left"].astype(np.uint64) * _ODD[9] + rows["right"].astype(np.uint64) * _ODD[8])
+    key = mix(key * ODD[10] + rows["hash"] + rows["left"].astype(np.uint64) * ODD[9] + rows["right"].astype(np.uint64) * ODD[8])
     _, first = np.unique(key, return_index=True)
     is_first = np.zeros(len(rows), bool)
     is_first[first] = True
@@ -260,14 +140,14 @@ def induced_marks(rows: np.ndarray, side: int, length: int) -> np.ndarray:
         part = rows[lo:hi]
         n = len(part)
         prefix = np.zeros((n, 2 * side + GRAM + 1), np.uint64)
-        c = _BYTE[part["bytes"]]
+        c = BYTE[part["bytes"]]
         for i in range(c.shape[1]):
-            prefix[:, i + 1] = prefix[:, i] * _ODD[13] + c[:, i]
-        power = np.uint64(pow(int(_ODD[13]), length, 2**64))
+            prefix[:, i + 1] = prefix[:, i] * ODD[13] + c[:, i]
+        power = np.uint64(pow(int(ODD[13]), length, 2**64))
         low, high = np.full(n, 2**30), np.full(n, -1)
         for s in range(side + 1):
             able = np.flatnonzero((part["left"] >= side - s) & (part["right"].astype(int) >= s))
-            key = _mix((prefix[able, s + length] - prefix[able, s] * power) + part["hash"][able] * _ODD[7])
+            key = mix((prefix[able, s + length] - prefix[able, s] * power) + part["hash"][able] * ODD[7])
             _, first, back = np.unique(key, return_index=True, return_inverse=True)
             later = able[first[back] != np.arange(len(able))]
             low[later] = np.minimum(low[later], s)
@@ -291,7 +171,7 @@ def united(marks: np.ndarray) -> np.ndarray:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, with_bytes: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUPBYTES, with_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document (and kept, its remaining bytes, if with_bytes)."""
     if length < GRAM + 1:
         raise ValueError(f"length must exceed {GRAM}")
