@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 
-_random = np.random.default_random(20_240_229)
+_random = np.random.default_rng(20_240_229)
 BYTE = _random.integers(0, 2**64, 256, np.uint64)
 ODD = _random.integers(0, 2**63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Stands for a null doc_id.
