@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, html_text, mixing, packing, pii, quality, repeats, topk
+from . import chat, exact_dedup, html_text, jaccard, mixing, packing, pii, quality, repeats, topk
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.control_conversation(spark))
     return chat.digests(chat.format_chats(chat.as_events(rows)))
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pii": op1_pii,
         "op2_packing": op2_packing,
         "op3_topk": op3_topk,
+        "op4_jaccard": op4_jaccard,
         "op5_chat": op5_chat,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_mixing": op7_mixing,
