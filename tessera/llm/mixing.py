@@ -60,26 +60,33 @@ def tilt(targets: DataFrame, steps: int = 80) -> DataFrame:
     return targets.withColumn("rate", rate)
 
 
-def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), most: int = 3, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", keep_row: bool = False) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, rate, copies, taken (and row, the document, if keep_row)."""
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep_row else []))
-    small = settle(sized.select("doc_id", "source", "size"))
+def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), most: int = 3, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, rate, copies, taken."""
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    small = settle(sized.withColumn("rid", F.monotonically_increasing_id()))
     rates = settle(tilt(source_targets(small, weights, float(most))))
-    counted = settle(_copies(small.withColumn("rid", F.monotonically_increasing_id()), rates, most))
+    counted = settle(_copies(small, rates, most))
     last = _corrections(counted, rates, most)
-    result = (
+    return (
         counted.join(last, "rid", "left")
         .withColumn("copies", F.col("copies") + F.coalesce("delta", F.lit(0)))
         .select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
-    if not keep_row:
-        return result
-    # repeated rows (equal doc_id, source and size) are told apart by a number, so that each meets one result
-    number = Window.partitionBy("doc_id", "source", "size").orderBy("copies")
-    result = result.withColumn("k", F.row_number().over(number))
-    numbered = sized.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(0))))
-    on = [numbered[c].eqNullSafe(result[c]) for c in ("doc_id", "source", "size", "k")]
-    return numbered.join(result, on).select("row", result["copies"], result["taken"])
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
+    """The mix itself: each document's row as often as the mix takes it.
+
+    Texts are shuffled once, by a hash of (doc_id, source, size); rows that share all three meet their copy numbers in order.
+    """
+    key = F.xxhash64(F.col("id"), F.col("source"), F.col("size"))
+    taken = mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, **how).withColumnRenamed("doc_id", "id")
+    copies = taken.groupBy(key.alias("key")).agg(F.sort_array(F.collect_list(F.struct("id", "source", "size", "copies"))).alias("cs"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    order = Window.partitionBy("key").orderBy("id", "source", "size")
+    rows = rows.withColumn("key", key).withColumn("k", F.row_number().over(order))
+    met = rows.join(copies, "key").withColumn("copies", F.element_at("cs", F.col("k"))["copies"]).filter("copies > 0")
+    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def _copies(rows: DataFrame, rates: DataFrame, most: int) -> DataFrame:
