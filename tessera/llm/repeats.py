@@ -43,7 +43,6 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
 from .external import BYTE, NONE, ODD, RUN, Sorter, dealt, doc_group, expand, mix, record
 
 GRAM = 32
@@ -268,6 +267,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         return pa.Table.from_batches([record(pairs)])
 
     def induce(table: pa.Table) -> pa.Table:
+        g = table["g"][0].as_py()
+        if g < 0:  # marks that were found on the way
+            return pa.table({"g": pa.array([-1 - g] * table.num_rows, pa.int32()), "blob": table["blob"]})
         sorter = Sorter(wide, RUN // 8)
         for blob in table["blob"]:
             sorter.add(expand(blob.as_py(), wide))
@@ -298,6 +300,6 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     blobs = "g int, blob binary"
     texts = source.mapInArrow(compress, "d int, doc bigint, part bigint, z binary")
     suffixes = source.mapInArrow(sample, blobs).groupBy("g").applyInArrow(repeated, blobs)
-    met = settle(suffixes.groupBy("g").cogroup(texts.groupBy("d")).applyInArrow(fetch, blobs))
-    marks = met.filter("g < 0").select((-1 - F.col("g")).alias("g"), "blob").unionByName(met.filter("g >= 0").groupBy("g").applyInArrow(induce, blobs))
+    met = suffixes.groupBy("g").cogroup(texts.groupBy("d")).applyInArrow(fetch, blobs)
+    marks = met.groupBy("g").applyInArrow(induce, blobs)
     return marks.groupBy("g").cogroup(texts.groupBy("d")).applyInArrow(finish, f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string{kept_field}")
