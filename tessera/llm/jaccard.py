@@ -356,7 +356,8 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
                 raw.append(zstandard.decompress(z.as_py()))
         return dict(zip(keys, shingle_sets(raw, size), strict=True)) if keys else {}
 
-    #: Sets on their way to a check: role 0 the set, 1 what it is held against; vectors stay with their documents.
+    # What travels: role 0 a set on its way to a check, 1 the set it is held against, 2 a document's point (n in doc2; count vector, then its cells),
+    # 3 a link that was found, 4 a pair to check.
     sent_schema = "role int, g int, doc bigint, part bigint, doc2 bigint, part2 bigint, blob binary"
     sent_names = [x.split()[0] for x in sent_schema.split(", ")]
     sent_kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.binary()]
@@ -392,48 +393,57 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
             if me in sets:
                 out.append((0, group_of(-hub, -hub_part), *me, -hub, -hub_part, zstandard.compress(sets[me].tobytes(), 1)))
         own = key[0].as_py()
-        out += [(2, own, *me, *me, zstandard.compress(count_vector(s).tobytes(), 1)) for me, s in sets.items()]
+        cuts = np.flatnonzero(np.concatenate([[True], (rows["doc"][1:] != rows["doc"][:-1]) | (rows["part"][1:] != rows["part"][:-1])]))
+        for a, b in zip(cuts, [*cuts[1:], len(rows)], strict=True):
+            me = (int(rows["doc"][a]), int(rows["part"][a]))
+            if me in sets:
+                vector = count_vector(sets[me])
+                out.append((2, own, *me, len(sets[me]), len(vector), zstandard.compress(vector.tobytes() + np.sort(rows["hash"][a:b]).tobytes(), 1)))
         return sent(out)
 
     def hashes(blob: bytes) -> np.ndarray:
         return np.frombuffer(zstandard.decompress(blob), np.uint64)
 
     def check_hubs(table: pa.Table) -> pa.Table:
-        hubs = {(r["doc"], r["part"]): r["blob"] for r in table.filter(pa.compute.equal(table["role"], 1)).to_pylist()}
+        """The links to hubs (role 3); points pass."""
+        role = table["role"]
+        hubs = {(r["doc"], r["part"]): r["blob"] for r in table.filter(pa.compute.equal(role, 1)).to_pylist()}
         found, last, hub_set = [], None, None
-        for r in sorted(table.filter(pa.compute.equal(table["role"], 0)).to_pylist(), key=lambda r: (r["doc2"], r["part2"])):
+        for r in sorted(table.filter(pa.compute.equal(role, 0)).to_pylist(), key=lambda r: (r["doc2"], r["part2"])):
             hub = (r["doc2"], r["part2"])
             if hub != last:
                 last, hub_set = hub, hashes(hubs[hub]) if hub in hubs else None
             if hub_set is not None and linked(hashes(r["blob"]), hub_set, percent):
-                found.append((r["doc"], r["doc2"]))
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+                found.append((3, r["g"], r["doc"], r["part"], *hub, None))
+        return pa.concat_tables([table.filter(pa.compute.equal(role, 2)), sent(found)])
 
-    members = settle(source.mapInArrow(deal, blobs).groupBy("g").applyInArrow(cells, blobs))
-    chosen = settle(members.groupBy("g").cogroup(texts.groupBy("d")).applyInArrow(choose, sent_schema))
-    near = settle(chosen.filter("role < 2").groupBy("g").applyInArrow(check_hubs, "a bigint, b bigint"))
+    members = source.mapInArrow(deal, blobs).groupBy("g").applyInArrow(cells, blobs)
+    chosen = members.groupBy("g").cogroup(texts.groupBy("d")).applyInArrow(choose, sent_schema)
+    checked = settle(chosen.groupBy("g").applyInArrow(check_hubs, sent_schema))
+    near = checked.filter("role = 3").select(F.col("doc").alias("a"), F.col("doc2").alias("b"))
     early = components(near.unionByName(same))
 
-    # points: the members of cells with their component and count vector, dealt by cell
-    vectors = chosen.filter("role = 2").select("g", "doc", "part", "blob")
-    points = vectors.join(early, vectors["doc"] == early["v"], "left").select(F.col("g").alias("pg"), "doc", "part", F.coalesce("label", "doc").alias("comp"), F.col("blob").alias("vector"))
+    # points: documents of shared cells with their component and count vector, dealt by cell
+    points = checked.filter("role = 2").join(early, F.col("doc") == F.col("v"), "left").select("doc", "part", F.col("doc2").alias("n"), F.coalesce("label", "doc").alias("comp"), F.col("part2").alias("wide"), "blob")
     cell_schema = "g int, cell bigint, doc bigint, part bigint, n int, comp bigint, vector binary"
 
-    def attach(members: pa.Table, points: pa.Table) -> pa.Table:
-        rows = np.concatenate([expand(b.as_py(), MEMBER) for b in members["blob"]]) if members.num_rows else np.empty(0, MEMBER)
-        known = {(d, p): (c, v) for d, p, c, v in zip(points["doc"].to_pylist(), points["part"].to_pylist(), points["comp"].to_pylist(), points["vector"].to_pylist(), strict=True)}
-        at = [known.get(k, (None, None)) for k in zip(rows["doc"].tolist(), rows["part"].tolist(), strict=True)]
-        return pa.table(
-            {
-                "g": pa.array((rows["hash"] % np.uint64(groups)).astype(np.int32)),
-                "cell": pa.array(rows["hash"].view(np.int64)),
-                "doc": pa.array(rows["doc"]),
-                "part": pa.array(rows["part"]),
-                "n": pa.array(rows["n"]),
-                "comp": pa.array([c for c, _ in at], pa.int64()),
-                "vector": pa.array([v for _, v in at], pa.binary()),
-            }
-        )
+    def spread(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                raw = zstandard.decompress(r["blob"])
+                vector = zstandard.compress(raw[: r["wide"]], 1)
+                for h in np.frombuffer(raw, np.uint64, offset=r["wide"]) if r["wide"] % 8 == 0 else np.frombuffer(raw[r["wide"] :], np.uint64):
+                    out.append((int(h % np.uint64(groups)), int(h.astype(np.int64)), r["doc"], r["part"], r["n"], r["comp"], vector))
+                if len(out) >= 20_000:
+                    yield points_of(out)
+                    out = []
+            if out:
+                yield points_of(out)
+
+    def points_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in cell_schema.split(", ")])
 
     def residual(table: pa.Table) -> pa.Table:
         """Pairs of different components that may link, by an R-tree over each cell."""
@@ -478,10 +488,9 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
         return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(PAIR.names, columns, strict=True)})
 
     pair_schema = "doc bigint, part bigint, doc2 bigint, part2 bigint"
-    dealt_points = members.groupBy("g").cogroup(points.groupBy("pg")).applyInArrow(attach, cell_schema)
-    pairs = settle(dealt_points.groupBy("g").applyInArrow(residual, pair_schema).distinct())
+    pairs = settle(points.mapInArrow(spread, cell_schema).groupBy("g").applyInArrow(residual, pair_schema).distinct())
 
-    # verification: the smaller doc's group gets the larger doc's set
+    # verification, in the group of a pair's first document: each set goes there once, however many pairs it is in
     def ask(batches):
         for b in batches:
             d, p, d2, p2 = (b.column(i).to_numpy() for i in range(4))
@@ -490,19 +499,26 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
 
     def answer(asked: pa.Table, texts: pa.Table) -> pa.Table:
         rows = asked.to_pylist()
-        mine = lambda r: (r["doc"], r["part"]) if r["role"] == 0 else (r["doc2"], r["part2"])
-        sets = wanted_sets(texts, set(map(mine, rows))) if rows else {}
-        return sent([(r["role"], group_of(r["doc"], r["part"]), r["doc"], r["part"], r["doc2"], r["part2"], zstandard.compress(sets[mine(r)].tobytes(), 1)) for r in rows if mine(r) in sets])
+        wanted: dict[tuple[int, int], set[int]] = {}
+        out = []
+        for r in rows:
+            target = group_of(r["doc"], r["part"])
+            wanted.setdefault((r["doc"], r["part"]) if r["role"] == 0 else (r["doc2"], r["part2"]), set()).add(target)
+            if r["role"] == 0:
+                out.append((4, target, r["doc"], r["part"], r["doc2"], r["part2"], None))
+        for me, s in (wanted_sets(texts, set(wanted)) if rows else {}).items():
+            blob = zstandard.compress(s.tobytes(), 1)
+            out += [(0, target, *me, *me, blob) for target in sorted(wanted[me])]
+        return sent(out)
 
     def check_pairs(table: pa.Table) -> pa.Table:
-        first: dict[tuple, bytes] = {}
-        found = []
-        for r in table.to_pylist():
-            key = (r["doc"], r["part"], r["doc2"], r["part2"])
-            other = first.pop(key, None)
-            if other is None:
-                first[key] = r["blob"]
-            elif linked(hashes(other), hashes(r["blob"]), percent):
+        sets = {(r["doc"], r["part"]): r["blob"] for r in table.filter(pa.compute.equal(table["role"], 0)).to_pylist()}
+        found, last, own = [], None, None
+        for r in sorted(table.filter(pa.compute.equal(table["role"], 4)).to_pylist(), key=lambda r: (r["doc"], r["part"])):
+            me, other = (r["doc"], r["part"]), (r["doc2"], r["part2"])
+            if me != last:
+                last, own = me, hashes(sets[me])
+            if linked(own, hashes(sets[other]), percent):
                 found.append((r["doc"], r["doc2"]))
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
