@@ -21,7 +21,8 @@ THRESHOLD = 0.7
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     trees = quality.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return quality.score_rows(docs, trees).filter(F.col("__score") >= THRESHOLD).drop("__score")
+    score = "__score" + "_" * max(map(len, docs.columns))  # a name that no column has
+    return quality.score_rows(docs, trees, score_col=score).filter(F.col(score) >= THRESHOLD).drop(score)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

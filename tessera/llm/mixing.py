@@ -10,7 +10,7 @@ rows, in the executors, without another pass over the documents.
 Rates become whole copies by systematic rounding in size order within bounded
 (source, bucket) groups, whose error telescopes to less than one document a
 bucket.  What is left of each source's target is then met by adding or removing a
-copy of few documents of falling size (at most 4 per size class and source).
+copy of few documents of falling size (at most SLOTS per size class and source).
 
 Defined cases: null text has size 0; a null source is a source, ranked last;
 documents of size 0 take 0; an empty table gives an empty result; repeated rows
@@ -26,6 +26,8 @@ from .common import n_words, settle
 
 #: Rows of a (source, bucket) group, on average.
 BUCKET_ROWS = 2_000
+#: Documents of a size class and source whose copies may be corrected.
+SLOTS = 8
 
 
 def source_targets(sized: DataFrame, weights=(5.0, 2.0, 1.0), most: float = 3.0) -> DataFrame:
@@ -107,17 +109,23 @@ def _corrections(counted: DataFrame, rates: DataFrame, most: int) -> DataFrame:
     """rid, delta: few documents per source whose copies change by one to meet the rest of the target."""
     off = counted.groupBy("source").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("off"))
     able = counted.filter("size > 0 and rate > 0")
-    picked = able.groupBy("source", "class", F.pmod("h", F.lit(4)).alias("slot")).agg(F.min(F.struct("h", "doc_id", "rid", "size", "copies")).alias("c"))
-    lists = picked.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("c.size", "c.h", "c.rid", "c.copies")), asc=False).alias("cs"))
+    slot = F.pmod("h", F.lit(SLOTS)).alias("slot")
+    picked = able.groupBy("source", "class", slot).agg(F.min(F.struct("h", "doc_id", "rid", "size", "copies")).alias("c")).select("source", "c.*")
+    # what smaller ones among the picked could still add or take away
+    smaller = Window.partitionBy("source").orderBy("size", "h", "rid").rowsBetween(Window.unboundedPreceding, -1)
+    below = lambda able: F.coalesce(F.sum(F.when(able, F.col("size"))).over(smaller), F.lit(0)).cast("double")
+    picked = picked.withColumns({"add": below(F.col("copies") < most), "less": below(F.col("copies") > 0)})
+    lists = picked.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size", "h", "rid", "copies", "add", "less")), asc=False).alias("cs"))
+    miss = lambda x: f"greatest(0D, {x} - c.add, -({x}) - c.less)"
+    change = lambda x, d: f"struct({x} AS off, array_append(s.changed, struct(c.rid AS rid, {d}L AS delta)) AS changed)"
+    more, fewer = f"IF(c.copies < {most}, {miss('s.off - c.size')}, 1e300D)", f"IF(c.copies > 0, {miss('s.off + c.size')}, 1e300D)"
     folded = lists.join(off, lists["source"].eqNullSafe(off["source"])).select(
         F.expr(
             f"""
             aggregate(cs, struct(off AS off, cast(array() AS array<struct<rid: bigint, delta: bigint>>) AS changed), (s, c) ->
-                CASE WHEN s.off >= c.size / 2D AND c.copies < {most}
-                     THEN struct(s.off - c.size AS off, array_append(s.changed, struct(c.rid AS rid, 1L AS delta)) AS changed)
-                     WHEN -s.off >= c.size / 2D AND c.copies > 0
-                     THEN struct(s.off + c.size AS off, array_append(s.changed, struct(c.rid AS rid, -1L AS delta)) AS changed)
-                     ELSE s END).changed
+                CASE WHEN {miss('s.off')} <= least({more}, {fewer}) THEN s
+                     WHEN {more} <= {fewer} THEN {change('s.off - c.size', 1)}
+                     ELSE {change('s.off + c.size', -1)} END).changed
             """
         ).alias("changed")
     )

@@ -254,7 +254,8 @@ def find(docs: DataFrame, model: SpanModel | None = None, id_col: str = "doc_id"
                 if not found:
                     out.append([])
                     continue
-                p = model.probability(np.array([(k, *votes(text, s, k, e, b)) for s, k, e, b in found]))
+                rows = np.array([(k, *votes(text, s, k, e, b)) for s, k, e, b in found])
+                p = np.where(rows[:, 2] < 0, 0.0, model.probability(rows))  # a failed check rule is a veto
                 kept = sorted((s, k, e, b, float(x)) for (s, k, e, b), x in zip(found, p, strict=True) if b or x >= threshold)
                 out.append([{"kind": KINDS[k], "start": s, "end": e, "base": b, "probability": x} for s, k, e, b, x in kept])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(span))], ["doc_id", "spans"])

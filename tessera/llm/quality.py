@@ -168,8 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_ro
     return fit(np.array(got["x"], np.float64).reshape(-1, len(STATISTICS)), np.array(got["label"], np.float64), **how)
 
 
-def score_rows(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
-    """docs with a column __score."""
+def score_rows(docs: DataFrame, trees: Trees, text_col: str = "text", score_col: str = "__score") -> DataFrame:
+    """docs with one column more, the score (its name must be new)."""
     fields = docs.schema
     at = docs.columns.index(text_col)
 
@@ -177,11 +177,11 @@ def score_rows(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFra
         for batch in batches:
             texts = batch.column(at).to_pylist()
             score = np.concatenate([trees.score(matrix(texts[i : i + 1000])) for i in range(0, len(texts), 1000)]) if texts else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, score_col])
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*fields.fields, T.StructField("__score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*fields.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **how) -> DataFrame:
