@@ -21,7 +21,7 @@ the threshold.  All links are found, none is guessed:
 Cells are taken by rarity, so a passage that a third of all documents share is met only by
 documents made of little else.  Shuffled are about 12 bytes per dealt shingle, the
 compressed texts once for each of the two verifications, the sets of documents that are verified, and
-count vectors (size / 4 to size / 2 bytes) of documents in shared cells.
+count vectors (size / 2 to size small numbers) of documents in shared cells.
 
 Shingles are compared by 64-bit hashes.
 
@@ -129,7 +129,7 @@ def prefix(grams: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
 
 def count_vector(grams: np.ndarray) -> np.ndarray:
     """Shingles per hash group; the number of groups, a power of two, follows the size of the set."""
-    bits = max(2, int(max(len(grams), 8) // 2).bit_length() - 1)
+    bits = max(2, max(len(grams), 8).bit_length() - 1)
     while True:
         c = np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         if c.max(initial=0) < 256:
@@ -209,6 +209,11 @@ def candidate_pairs(n: np.ndarray, comp: np.ndarray, vectors: list[np.ndarray],
             stack += [(a, k) for k in b.children]
 
 
+def least_cells(a: int, b: int, percent: int) -> int:
+    """Cells that linking sets of sizes a and b share: of their first shared shingles in order so many lie in both prefixes."""
+    return max(1, least_overlap(a, b, percent) + 1 - -(-percent * max(a, b) // 100))
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
@@ -383,11 +388,11 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
         for r, c in zip(rows[at], np.diff([*at, len(rows)]), strict=True):
             me, hub = (int(r["doc"]), int(r["part"])), (int(r["hub"]), int(r["hub_part"]))
             if me == hub:
-                if me in sets:
+                if me in sets and c >= least_cells(int(r["n"]), int(r["n"]), percent):
                     out.append((1, group_of(*me), *me, *me, zstandard.compress(sets[me].tobytes(), 1)))
                 continue
             small, large = sorted((int(r["n"]), int(r["hub_n"])))
-            if 100 * small >= percent * large and int(c) * 32 >= int(r["n"]):
+            if 100 * small >= percent * large and c >= least_cells(small, large, percent):
                 best[me] = max(best.get(me, (0,)), (int(c), -hub[0], -hub[1]))
         for me, (_, hub, hub_part) in best.items():
             if me in sets:
