@@ -87,10 +87,15 @@ def _lcs(a: list[str], b: list[str]) -> int:
     return row.bit_count()
 
 
-@F.pandas_udf("bigint")
-def lcs_length(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in parts:
-        yield pd.Series([_lcs(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="int64")
+def lcs_length(reference: Column, hypothesis: Column) -> Column:
+    """Length of the longest common subsequence of two token arrays (an Arrow UDF: a recurrence)."""
+
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in parts:
+            yield pd.Series([_lcs(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="int64")
+
+    run.__annotations__ = {"parts": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "bigint")(reference, hypothesis)
 
 
 def rouge_l(pairs: DataFrame, beta: float = 1.2) -> DataFrame:

@@ -7,7 +7,7 @@ counting, filtering and joining afterwards is relational.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -165,10 +165,11 @@ def formula_roles(latex: str | None) -> tuple[list[str], list[str], list[str]]:
     return sorted(set(_names(latex))), sorted(bound), sorted({lead[0]} - {""})
 
 
-def _columns(f: Callable) -> Callable:
-    return lambda s: pd.DataFrame([dict(zip(("used", "bound", "defined"), f(x), strict=True)) for x in s], columns=["used", "bound", "defined"])
+def formula_variables(latex: Column) -> Column:
+    """struct<used, bound, defined> of variable names (an Arrow UDF: nested scans)."""
 
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([dict(zip(("used", "bound", "defined"), formula_roles(x), strict=True)) for x in s], columns=["used", "bound", "defined"])
 
-@F.pandas_udf("used array<string>, bound array<string>, defined array<string>")
-def formula_variables(latex: pd.Series) -> pd.DataFrame:
-    return _columns(formula_roles)(latex)
+    run.__annotations__ = {"s": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(run, "used array<string>, bound array<string>, defined array<string>")(latex)

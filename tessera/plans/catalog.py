@@ -239,9 +239,9 @@ def grf08_citation_paths(spark, d):
     return C.citation_paths(load(spark, d, "refs"), pairs).withColumn("path", F.array_join("path", ">"))
 
 
-@query("jon01_resolve", "SELECT seq AS cite_id, from_nid, CASE WHEN n.nid <> from_nid THEN n.nid END AS to_nid FROM refs JOIN nodes n ON n.number = regexp_extract(label, '([0-9.]+)$', 1)", ("nodes", "refs"))
+@query("jon01_resolve", "SELECT seq * 100 + char_offset AS cite_id, from_nid, CASE WHEN n.nid <> from_nid THEN n.nid END AS to_nid FROM refs JOIN nodes n ON n.number = regexp_extract(label, '([0-9.]+)$', 1)", ("nodes", "refs"))
 def jon01_resolve(spark, d):
-    cites = load(spark, d, "refs").select(F.col("seq").alias("cite_id"), "from_nid", F.lower(F.regexp_extract("label", r"^(\w+)", 1)).alias("kind"), F.regexp_extract("label", r"([0-9.]+)$", 1).alias("number"))
+    cites = load(spark, d, "refs").select((F.col("seq") * 100 + F.col("char_offset")).alias("cite_id"), "from_nid", F.lower(F.regexp_extract("label", r"^(\w+)", 1)).alias("kind"), F.regexp_extract("label", r"([0-9.]+)$", 1).alias("number"))
     return C.resolve(cites, load(spark, d, "nodes"))
 
 
@@ -420,10 +420,10 @@ def jon10_containment(spark, d):
     return G.containment_parents(load(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("seq"), latex.alias("latex")))
 
 
-@query("jon11_nearest_lower", "SELECT e.event_id AS cite_id, max(o.o_orderkey) FILTER (o.o_orderkey <= e.event_id) AS id FROM events e LEFT JOIN orders o ON o.o_custkey = e.user_id GROUP BY e.event_id")
+@query("jon11_nearest_lower", "SELECT e.event_id AS cite_id, coalesce(max(o.o_orderkey) FILTER (o.o_orderkey <= e.event_id), -1) AS id FROM events e LEFT JOIN orders o ON o.o_custkey = e.user_id GROUP BY e.event_id")
 def jon11_nearest_lower(spark, d):
     cites = load(spark, d, "events").select(F.col("event_id").alias("cite_id"), F.col("user_id").alias("chapter"), F.col("event_id").alias("num"))
-    return G.nearest_lower_label(cites, load(spark, d, "orders").select(F.col("o_custkey").alias("chapter"), F.col("o_orderkey").alias("num"), F.col("o_orderkey").alias("id")))
+    return G.nearest_lower_label(cites, load(spark, d, "orders").select(F.col("o_custkey").alias("chapter"), F.col("o_orderkey").alias("num"), F.col("o_orderkey").alias("id"))).na.fill(-1, ["id"])
 
 
 # Ordered operators

@@ -21,11 +21,11 @@ VIEWS = {
           n_regionkey * 100 + n_nationkey * 4 + 1, n_regionkey * 100 + n_nationkey * 4 + 3, cast(n_regionkey AS bigint) * 1000000000 + (n_nationkey + 1) * 10000000 FROM {nation}
         UNION ALL
         SELECT 'b/ch' || (n_regionkey + 1) || '/s' || n_nationkey || '/thm' || s_suppkey, 'theorem', (n_regionkey + 1) || '.' || n_nationkey || '.' || s_suppkey, s_name, s_name,
-          n_regionkey * 100 + n_nationkey * 4 + 2, n_regionkey * 100 + n_nationkey * 4 + 2, cast(n_regionkey AS bigint) * 1000000000 + (n_nationkey + 1) * 10000000 + s_suppkey FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
+          n_regionkey * 100 + n_nationkey * 4 + 2, n_regionkey * 100 + n_nationkey * 4 + 2, cast(n_regionkey AS bigint) * 1000000000 + (n_nationkey + 1) * 10000000 + s_suppkey + 1 FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
     """,
     # each order line cites, from its customer's section, its supplier's theorem (odd lines) or section
     "refs": """
-        SELECT l_orderkey * 10 + l_linenumber AS seq, 'b/ch' || (cn.n_regionkey + 1) || '/s' || cn.n_nationkey AS from_nid,
+        SELECT (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS seq, 'b/ch' || (cn.n_regionkey + 1) || '/s' || cn.n_nationkey AS from_nid,
           CASE WHEN l_linenumber % 2 = 1 THEN 'b/ch' || (sn.n_regionkey + 1) || '/s' || sn.n_nationkey || '/thm' || s_suppkey ELSE 'b/ch' || (sn.n_regionkey + 1) || '/s' || sn.n_nationkey END AS to_nid,
           CASE WHEN l_linenumber % 2 = 1 THEN 'Theorem ' || (sn.n_regionkey + 1) || '.' || sn.n_nationkey || '.' || s_suppkey ELSE 'Section ' || (sn.n_regionkey + 1) || '.' || sn.n_nationkey END AS label,
           cast(l_quantity AS int) AS char_offset
@@ -36,7 +36,7 @@ VIEWS = {
     "questions": "SELECT item_id AS qid, text AS query FROM {benchmark}",
     "edges_log": """
         SELECT 'f:' || l_suppkey AS src, CASE l_returnflag WHEN 'A' THEN 'uses' WHEN 'N' THEN 'about' ELSE 'references' END AS type, 'p:' || l_partkey AS dst,
-          l_quantity AS weight, l_linestatus AS meta, l_orderkey * 10 + l_linenumber AS seq FROM {lineitem}
+          l_quantity AS weight, l_linestatus AS meta, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS seq FROM {lineitem}
     """,
     "graph_passages": "SELECT 'p:' || p_partkey AS id, 'b/ch' || (p_size % 7) || '/x' AS home_nid FROM {part}",
     "formulas": "SELECT 'f:' || s_suppkey AS id, s_suppkey AS seq FROM {supplier}",
