@@ -67,7 +67,7 @@ def chapter_edges(refs: DataFrame, chapters: DataFrame | None = None) -> DataFra
     if chapters is not None:
         known = chapters.select("nid")
         rows = rows.join(known.withColumnRenamed("nid", "src"), "src", "left_semi").join(known.withColumnRenamed("nid", "dst"), "dst", "left_semi")
-    return rows
+    return rows.select("src", "dst", "n")
 
 
 def chapter_degrees(refs: DataFrame, chapters: DataFrame) -> DataFrame:

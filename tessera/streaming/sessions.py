@@ -22,6 +22,8 @@ def first_seen_stream(events: DataFrame, keys: list[str]) -> DataFrame:
 def gate(events: DataFrame) -> DataFrame:
     """session, seq, key, fresh: whether the session has not seen the key; an event of kind "forget" empties its memory."""
 
+    kind = events.schema["session"].dataType.simpleString()
+
     def run(session: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen = set(state.get[0].split("\x1f")) if state.exists and state.get[0] else set()
         pdf = pd.concat(list(batches)).sort_values("seq", kind="stable")
@@ -35,13 +37,15 @@ def gate(events: DataFrame) -> DataFrame:
         state.update(("\x1f".join(sorted(seen)),))
         yield pd.DataFrame(rows, columns=["session", "seq", "key", "fresh"])
 
-    return events.select("session", "seq", "kind", "key").groupBy("session").applyInPandasWithState(run, "session string, seq bigint, key string, fresh boolean", "seen string", "append", GroupStateTimeout.NoTimeout)
+    return events.select("session", "seq", "kind", "key").groupBy("session").applyInPandasWithState(run, f"session {kind}, seq bigint, key string, fresh boolean", "seen string", "append", GroupStateTimeout.NoTimeout)
 
 
 def merge_lanes(events: DataFrame) -> DataFrame:
     """session, place, lane, marker, text: what a session says, in order. Events of the tangent lane that have come go before the main lane's,
     with a start and an end marker; while paused nothing is said, after a cancel nothing more."""
 
+    kind = events.schema["session"].dataType.simpleString()
+
     def run(session: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         place, paused, cancelled, held = state.get if state.exists else (0, False, False, "")
         main = [x for x in held.split("\x1e") if x]
@@ -69,7 +73,7 @@ def merge_lanes(events: DataFrame) -> DataFrame:
         yield pd.DataFrame(rows, columns=["session", "place", "lane", "marker", "text"])
 
     return events.select("session", "seq", "lane", "kind", "text").groupBy("session").applyInPandasWithState(
-        run, "session string, place bigint, lane string, marker string, text string", "place bigint, paused boolean, cancelled boolean, held string", "append", GroupStateTimeout.NoTimeout
+        run, f"session {kind}, place bigint, lane string, marker string, text string", "place bigint, paused boolean, cancelled boolean, held string", "append", GroupStateTimeout.NoTimeout
     )
 
 
