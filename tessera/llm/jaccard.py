@@ -7,6 +7,7 @@ the threshold.  All links are found, none is guessed:
    over all documents).  A pair that links shares one of the rarest
    floor((1 - threshold) * size) + 1 shingles of either set, so only these are dealt, by hash, into
    cells.  Copies of a set that meet in a task are dealt once.
+   A cell counts for a document only if it holds another of like size and the document is in as many such cells as a link would need.
 2. Each document is verified against the one hub (first document of a cell) that it
    shares most cells with.  That joins groups of copies by as many checks as they have
    members, and no pairs of them are ever listed.
@@ -57,7 +58,7 @@ POWER = np.cumprod(np.concatenate([[np.uint64(1)], np.full(CHUNK + (1 << 16), OD
 INVERSE = np.cumprod(np.concatenate([[np.uint64(1)], np.full(CHUNK + (1 << 16), np.uint64(pow(int(ODD[0]), -1, 2**64)), np.uint64)]))
 
 CELL = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("part", "<i8"), ("n", "<i4")])
-MEMBER = np.dtype([*CELL.descr, ("hub", "<i8"), ("hub_part", "<i8"), ("hub_n", "<i4")])
+MEMBER = np.dtype([*CELL.descr, ("hub", "<i8"), ("hub_part", "<i8"), ("hub_n", "<i4"), ("need", "<i4")])
 PAIR = np.dtype([("doc", "<i8"), ("part", "<i8"), ("doc2", "<i8"), ("part2", "<i8")])
 
 
@@ -209,9 +210,31 @@ def candidate_pairs(n: np.ndarray, comp: np.ndarray, vectors: list[np.ndarray],
             stack += [(a, k) for k in b.children]
 
 
-def least_cells(a: int, b: int, percent: int) -> int:
+def least_cells(a, b, percent: int):
     """Cells that linking sets of sizes a and b share: of their first shared shingles in order so many lie in both prefixes."""
-    return max(1, least_overlap(a, b, percent) + 1 - -(-percent * max(a, b) // 100))
+    return np.maximum(1, least_overlap(a, b, percent) + 1 - -(-percent * np.maximum(a, b) // 100))
+
+
+def cells_needed(cell: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """For each member of a cell the least number of cells it shares with any member it could link with; 0 if sizes rule all out."""
+    order = np.lexsort((n, cell))
+    at, size = cell[order].astype(np.int64) << 32, n[order].astype(np.int64)
+    key = at + size
+    low, high = np.searchsorted(key, at + -(-percent * size // 100)), np.searchsorted(key, at + 100 * size // percent, "right")
+    need = np.minimum(least_cells(size, size[low], percent), least_cells(size, size[high - 1], percent)) - 1  # one less, for the roundings
+    out = np.empty(len(n), np.int64)
+    out[order] = np.where(high - low > 1, np.maximum(need, 1), 0)
+    return out
+
+
+def enough(need: np.ndarray) -> np.ndarray:
+    """Which cells of one document can matter: those that need no more cells than there are of such."""
+    keep = np.ones(len(need), bool)
+    while True:
+        new = need <= keep.sum()
+        if (new == keep).all():
+            return keep
+        keep &= new
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -336,12 +359,14 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
             rows = rows[same]
             first = np.flatnonzero(np.diff(rows["hash"], prepend=rows["hash"][:1] ^ np.uint64(1)) != 0)
             group = np.repeat(np.arange(len(first)), np.diff([*first, len(rows)]))
-            many = np.bincount(group)[group] > 1
+            need = cells_needed(group, rows["n"], percent)
+            many = need > 0
             out = np.empty(int(many.sum()), MEMBER)
             for c in CELL.names:
                 out[c] = rows[c][many]
             hub = rows[first[group[many]]]
             out["hub"], out["hub_part"], out["hub_n"] = hub["doc"], hub["part"], hub["n"]
+            out["need"] = need[many]
             pairs += list(dealt(doc_group(out["doc"], out["part"], groups), out))
         return pa.Table.from_batches([record(pairs)])
 
@@ -380,6 +405,11 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
         if not members.num_rows:
             return sent([])
         rows = np.concatenate([expand(b.as_py(), MEMBER) for b in members["blob"]])
+        rows = rows[np.lexsort((rows["part"], rows["doc"]))]
+        cuts = np.flatnonzero(np.concatenate([[True], (rows["doc"][1:] != rows["doc"][:-1]) | (rows["part"][1:] != rows["part"][:-1])]))
+        rows = rows[np.concatenate([enough(rows["need"][a:b]) for a, b in zip(cuts, [*cuts[1:], len(rows)], strict=True)])]
+        if not len(rows):
+            return sent([])
         sets = wanted_sets(texts, set(zip(rows["doc"].tolist(), rows["part"].tolist(), strict=True)))
         out = []
         rows = rows[np.lexsort((rows["hub_part"], rows["hub"], rows["part"], rows["doc"]))]
@@ -433,6 +463,8 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
     points = checked.filter("role = 2").join(early, F.col("doc") == F.col("v"), "left").select("doc", "part", F.col("doc2").alias("n"), F.coalesce("label", "doc").alias("comp"), F.col("part2").alias("wide"), "blob")
     cell_schema = "g int, cell bigint, doc bigint, part bigint, n int, comp bigint, vector binary"
 
+    point_groups = max(16, groups // 4)  # few cells are left
+
     def spread(batches):
         for batch in batches:
             out = []
@@ -440,7 +472,7 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
                 raw = zstandard.decompress(r["blob"])
                 vector = zstandard.compress(raw[: r["wide"]], 1)
                 for h in np.frombuffer(raw, np.uint64, offset=r["wide"]) if r["wide"] % 8 == 0 else np.frombuffer(raw[r["wide"] :], np.uint64):
-                    out.append((int(h % np.uint64(groups)), int(h.astype(np.int64)), r["doc"], r["part"], r["n"], r["comp"], vector))
+                    out.append((int(h % np.uint64(point_groups)), int(h.astype(np.int64)), r["doc"], r["part"], r["n"], r["comp"], vector))
                 if len(out) >= 20_000:
                     yield points_of(out)
                     out = []

@@ -299,3 +299,19 @@ def test_sorter_spills_and_keeps_hashes_whole():
     assert (np.concatenate(blocks) == every[np.lexsort((every["pos"], every["hash"]))]).all()
     assert all(a["hash"][-1] < b["hash"][0] for a, b in zip(blocks, blocks[1:], strict=False)) and len(blocks) > 5
     assert (external.expand(external.squeeze(every), kind) == every).all()
+
+
+def test_linking_sets_share_the_cells_they_need():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.integers(4, 200))
+        a = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        b = np.unique(np.concatenate([rng.choice(a, max(1, int(len(a) * rng.uniform(0.75, 1))), False), rng.integers(0, 2**64, int(rng.integers(0, n // 4 + 1)), np.uint64)]))
+        if jaccard.linked(a, b, 75):
+            level = np.zeros(jaccard.COUNTERS, np.uint8)
+            both = len(np.intersect1d(jaccard.prefix(a, level, 75), jaccard.prefix(b, level, 75)))
+            assert both >= jaccard.least_cells(len(a), len(b), 75) >= 1
+            need = jaccard.cells_needed(np.zeros(3, int), np.array([len(a), len(b), 10**6]), 75)
+            assert 1 <= need[0] <= both and 1 <= need[1] <= both and need[2] == 0
+    assert jaccard.enough(np.array([1, 3, 3, 9])).tolist() == [True, True, True, False] and jaccard.enough(np.array([2, 3, 3, 9, 9])).tolist() == [True, True, True, False, False]
+    assert jaccard.enough(np.array([2, 5])).tolist() == [False, False]
