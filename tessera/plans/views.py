@@ -36,7 +36,7 @@ VIEWS = {
     "questions": "SELECT item_id AS qid, text AS query FROM {benchmark}",
     "edges_log": """
         SELECT 'f:' || l_suppkey AS src, CASE l_returnflag WHEN 'A' THEN 'uses' WHEN 'N' THEN 'about' ELSE 'references' END AS type, 'p:' || l_partkey AS dst,
-          l_quantity AS weight, l_linestatus AS meta, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS seq FROM {lineitem}
+          l_quantity AS weight, l_linestatus AS meta, ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 100 + cast(l_quantity AS bigint) AS seq FROM {lineitem}
     """,
     "graph_passages": "SELECT 'p:' || p_partkey AS id, 'b/ch' || (p_size % 7) || '/x' AS home_nid FROM {part}",
     "formulas": "SELECT 'f:' || s_suppkey AS id, s_suppkey AS seq FROM {supplier}",
