@@ -461,8 +461,8 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
 
     # points: documents of shared cells with their component and count vector, dealt by cell
     points = checked.filter("role = 2").join(early, F.col("doc") == F.col("v"), "left").select("doc", "part", F.col("doc2").alias("n"), F.coalesce("label", "doc").alias("comp"), F.col("part2").alias("wide"), "blob")
-    cell_schema = "g int, cell bigint, doc bigint, part bigint, n int, comp bigint, vector binary"
-
+    # a document goes to each group of cells once, with those of its cells that are there
+    cell_schema = "g int, doc bigint, part bigint, n int, comp bigint, cells binary, vector binary"
     point_groups = max(16, groups // 4)  # few cells are left
 
     def spread(batches):
@@ -471,35 +471,41 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
             for r in batch.to_pylist():
                 raw = zstandard.decompress(r["blob"])
                 vector = zstandard.compress(raw[: r["wide"]], 1)
-                for h in np.frombuffer(raw, np.uint64, offset=r["wide"]) if r["wide"] % 8 == 0 else np.frombuffer(raw[r["wide"] :], np.uint64):
-                    out.append((int(h % np.uint64(point_groups)), int(h.astype(np.int64)), r["doc"], r["part"], r["n"], r["comp"], vector))
-                if len(out) >= 20_000:
+                own = np.frombuffer(raw[r["wide"] :], np.uint64)
+                to = (own % np.uint64(point_groups)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                at = np.flatnonzero(np.diff(to[order], prepend=-1))
+                for lo, hi in zip(at, [*at[1:], len(own)], strict=True):
+                    out.append((int(to[order[lo]]), r["doc"], r["part"], r["n"], r["comp"], own[order[lo:hi]].tobytes(), vector))
+                if len(out) >= 10_000:
                     yield points_of(out)
                     out = []
             if out:
                 yield points_of(out)
 
     def points_of(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in cell_schema.split(", ")])
 
     def residual(table: pa.Table) -> pa.Table:
         """Pairs of different components that may link, by an R-tree over each cell."""
-        cell, comp, n = (table[c].to_numpy() for c in ("cell", "comp", "n"))
-        doc, part = table["doc"].to_numpy(), table["part"].to_numpy()
+        lists = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["cells"]]
+        of = np.repeat(np.arange(len(lists)), list(map(len, lists)))  # the row of each member of a cell
+        cell = np.concatenate(lists) if lists else np.empty(0, np.uint64)
+        del lists
+        comp, n, doc, part = (table[c].to_numpy()[of] for c in ("comp", "n", "doc", "part"))
         order = np.lexsort((part, doc, cell))
-        cuts = np.flatnonzero(np.diff(cell[order], prepend=cell[order][:1] ^ 1) != 0)
+        cuts = np.flatnonzero(np.diff(cell[order], prepend=cell[order][:1] ^ np.uint64(1)) != 0)
         ends = [*cuts[1:], len(order)]
         ordered = comp[order]
         mixed = np.minimum.reduceat(ordered, cuts) != np.maximum.reduceat(ordered, cuts) if len(cuts) else []
         memory: dict[int, np.ndarray] = {}
         stored = table["vector"]
-        place = {}
         found: set[tuple[int, int, int, int]] = set()
         tried: set[tuple[int, int]] = set()
 
         def vector(i: int) -> np.ndarray:
-            k = place.setdefault((int(doc[i]), int(part[i])), int(i))
+            k = int(of[i])
             if k not in memory:
                 memory[k] = np.frombuffer(zstandard.decompress(stored[k].as_py()), np.uint8)
             return memory[k]
@@ -510,8 +516,7 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
             rows = order[a:b]
             if b - a == 2:
                 i, j = int(rows[0]), int(rows[1])
-                vector(i), vector(j)
-                key = (place[int(doc[i]), int(part[i])], place[int(doc[j]), int(part[j])])
+                key = (int(of[i]), int(of[j]))
                 small, large = sorted((int(n[i]), int(n[j])))
                 if key in tried or 100 * small < percent * large:
                     continue
