@@ -22,7 +22,7 @@ the threshold.  All links are found, none is guessed:
 Cells are taken by rarity, so a passage that a third of all documents share is met only by
 documents made of little else.  Shuffled are about 12 bytes per dealt shingle, the
 compressed texts once for each of the two verifications, the sets of documents that are verified, and
-count vectors (size / 2 to size small numbers) of documents in shared cells.
+count vectors (size to twice that of small numbers) of documents in shared cells.
 
 Shingles are compared by 64-bit hashes.
 
@@ -130,7 +130,7 @@ def prefix(grams: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
 
 def count_vector(grams: np.ndarray) -> np.ndarray:
     """Shingles per hash group; the number of groups, a power of two, follows the size of the set."""
-    bits = max(2, max(len(grams), 8).bit_length() - 1)
+    bits = max(len(grams), 8).bit_length()
     while True:
         c = np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         if c.max(initial=0) < 256:
