@@ -131,11 +131,10 @@ def induced_marks(rows: np.ndarray, side: int, length: int) -> np.ndarray:
     group = np.cumsum(np.diff(rows["hash"], prepend=rows["hash"][:1]) != 0)
     rows = rows[np.bincount(group)[group] > 1] if len(rows) else rows
     out = []
-    for lo in range(0, len(rows), 1 << 16):  # whole groups of about so many rows
-        lo = int(np.searchsorted(rows["hash"], rows["hash"][lo], side="left")) if lo else 0
-        hi = len(rows) if lo + (1 << 16) >= len(rows) else int(np.searchsorted(rows["hash"], rows["hash"][lo + (1 << 16)], side="left"))
-        if hi <= lo:
-            hi = int(np.searchsorted(rows["hash"], rows["hash"][lo], side="right"))
+    hi = 0
+    while hi < len(rows):  # whole groups of about so many rows
+        lo, last = hi, min(hi + (1 << 16), len(rows)) - 1
+        hi = int(np.searchsorted(rows["hash"], rows["hash"][last], side="right"))
         part = rows[lo:hi]
         n = len(part)
         prefix = np.zeros((n, 2 * side + GRAM + 1), np.uint64)

@@ -277,6 +277,28 @@ def test_repeats_equal_brute_force(spark, docs):
     assert {r[0]: tuple(r) for r in repeats.remove_repeats(small).collect()} == brute.repeats([(r["doc_id"], r["text"]) for r in small.collect()])
 
 
+def test_marks_of_a_long_hash_group_among_small_ones():
+    rng, length = np.random.default_rng(4), 100
+    side = length - repeats.GRAM
+    sizes = [3] * 5000 + [70_000] + [3] * 20_000 + [2, 4, 6] * 500
+    rows = np.zeros(sum(sizes), repeats.around(2 * side + repeats.GRAM))
+    rows["hash"] = np.repeat(np.arange(len(sizes)), sizes)
+    rows["doc"] = np.arange(len(rows))
+    rows["pos"] = 1000
+    rows["left"] = rng.integers(side - 2, side + 1, len(rows))
+    rows["right"] = rng.integers(0, 4, len(rows))
+    rows["bytes"][:, [1, side + 10, length + 2]] = rng.integers(0, [3, 2, 3], (len(rows), 3))
+    want, seen = {}, set()
+    for r in rows:
+        held = [s for s in range(side + 1) if r["left"] >= side - s and r["right"] >= s]
+        strings = [(r["hash"], s, r["bytes"][s : s + length].tobytes()) for s in held]
+        if hits := [x[1] for x in strings if x in seen]:
+            want[int(r["doc"])] = (1000 - side + hits[0], 1000 - side + hits[-1] + length)
+        seen.update(strings)
+    got = repeats.induced_marks(rows, side, length)
+    assert {int(d): (int(s), int(e)) for d, _, s, e in got} == want and len(got) == len(want)
+
+
 def test_repeats_odd_rows(odd_docs, no_docs):
     rows = repeats.remove_repeats(odd_docs, with_bytes=True).collect()
     assert len(rows) == odd_docs.count()
