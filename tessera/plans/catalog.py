@@ -466,7 +466,17 @@ def str30_islands(spark, d):
     WINDOW w AS (PARTITION BY conv_id, turn ORDER BY pos), p AS (PARTITION BY conv_id, turn))""",
 )
 def win12_word_times(spark, d):
-    words = load(spark, d, "conversations").filter("role = 'system'").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    return word_times(load(spark, d, "conversations").filter("role = 'system'"))
+
+
+@query("win12_word_times_all")
+def win12_word_times_all(spark, d):
+    """All turns, of any length; win12_word_times is the part of them that its SQL covers."""
+    return word_times(load(spark, d, "conversations"))
+
+
+def word_times(turns):
+    words = turns.select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("pos", "word"))
     rows = S.word_times(words, ["conv_id", "turn"], F.lit(5.0))
     return rows.select("conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), r6(F.col("t_start")).alias("t_start"), r6(F.col("t_end")).alias("t_end"))
 

@@ -35,5 +35,20 @@ def test_query_equals_its_sql(spark, sf_dir, oracle, name):
         assert len(got.columns)
 
 
+@pytest.mark.parametrize("long", [False, True])
+def test_word_times_of_all_turns(spark, sf_dir, tmp_path, long):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    if long:
+        turns = spark.createDataFrame([(1, 0, "user", "a bb " * 4000 + "ccc"), (1, 1, "system", "x")], turns.schema)
+        turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    want = {}
+    for r in turns.collect():
+        sizes = [max(1, len(w)) for w in (r["text"] or "").split(" ")] if r["text"] is not None else []
+        for i in range(len(sizes)):
+            want[r["conv_id"], r["turn"], i] = 5 * sum(sizes[:i]) / sum(sizes), 5 * sum(sizes[: i + 1]) / sum(sizes)
+    got = {(r["conv_id"], r["turn"], r["pos"]): (r["t_start"], r["t_end"]) for r in entry.queries()["win12_word_times_all"](spark, str(tmp_path) if long else sf_dir).collect()}
+    assert set(got) == set(want) and all(abs(x - y) < 1e-6 for k in want for x, y in zip(got[k], want[k], strict=True))
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
