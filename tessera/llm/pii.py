@@ -44,8 +44,10 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # What the other candidates and the labelers look for.
 NUMBER = re.compile(r"(?<![\w+.-])\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,4}){1,4}(?![\w-]|\.[0-9])")
 SPELLED = re.compile(r"(?<![\w.-])[A-Za-z0-9][A-Za-z0-9._-]{0,60}+ ?[\[(]?(?:at|@)[\])]? ?[A-Za-z0-9-]{1,60}+(?: ?[\[(](?:dot|\.)[\])] ?[A-Za-z]{2,12}| dot [A-Za-z]{2,12})", re.I)
+#: Every spelled address has one of these.
+DOTTED = re.compile(r"[\[(](?:dot|\.)[\])]| dot ", re.I)
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[0-9a-fA-F]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|ghp|xox[bp])[_-][A-Za-z0-9_-]{16,100})(?![A-Za-z0-9+/_-])")
+SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[0-9a-fA-F]{32,}+|AKIA[0-9A-Z]{16}|(?:sk|ghp|xox[bp])[_-][A-Za-z0-9_-]{16,}+)(?![A-Za-z0-9+/_-])")
 PERSON = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra)\.? (?:[A-Z][a-z]{1,20})(?: [A-Z][a-z]{1,20}){0,2}")
 ADDRESS = re.compile(r"(?<![\w.])[0-9]{1,5} (?:[A-Z][a-z]{1,20} ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct)\b")
 TITLED = re.compile(r"\b(?:M[rs]s?|Dr|Prof|Herr|Frau|Mme|Sra)\.? [A-Z]")
@@ -115,7 +117,7 @@ def other_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         found += [(m.start(), 5, m.end()) for m in IBAN.finditer(text)]
         found += [(m.start(), 6, m.end()) for m in SECRET.finditer(text)]
         found += [(m.start(), 8, m.end()) for m in ADDRESS.finditer(text)]
-    if "[at]" in text or "(at)" in text or " dot " in text or "[dot]" in text or "(dot)" in text:
+    if DOTTED.search(text):
         found += [(m.start(), 0, m.end()) for m in SPELLED.finditer(text)]
     if TITLED.search(text):
         found += [(m.start(), 7, m.end()) for m in PERSON.finditer(text)]

@@ -47,6 +47,17 @@ def test_pii_adds_spans_and_leaves_decoys(spark):
     assert "4111111111111112" in pii.redact(text[0], got["spans"]) and "[SECRET]" in pii.redact(text[0], got["spans"])
 
 
+@pytest.mark.parametrize("text", ["JOE (AT) EXAMPLE (DOT) COM", "joe@example[.]com", "joe [at] example(.)com", "Joe AT Example DOT Com", "joe at example dot com"])
+def test_pii_spelled_addresses(text):
+    assert pii.candidates(f"x, {text}!") == [(3, 0, 3 + len(text), False)]
+
+
+@pytest.mark.parametrize("text", ["f0" * 16, "f0" * 64, "f0" * 65, "f0" * 50_000, "sk-" + "aZ9_" * 4, "sk-" + "aZ9_" * 25, "ghp_" + "aZ9_" * 26, "xoxb-" + "aZ9-" * 50_000])
+def test_pii_secrets_of_any_length(text):
+    assert pii.candidates(f"key {text}, x") == [(4, 6, 4 + len(text), False)]
+    assert pii.candidates(f"key {text}/x") == []
+
+
 def test_pii_odd_rows(odd_docs, no_docs):
     assert pii.digest(pii.find(odd_docs)).count() == odd_docs.count()
     assert pii.digest(pii.find(no_docs)).count() == 0
