@@ -52,6 +52,15 @@ FURNITURE = re.compile(
     r"|comments?|commentlist|disqus|respond|replies|reply|discussion|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|footer|header|masthead|toolbar|pagination|pager|widget|search|complementary|contentinfo)(?:$|[\s_-])",
     re.I,
 )
+#: Those of them whose articles are not the page's either; others may name a wrapper of the article, as with-sidebar does.
+APART = re.compile(
+    r"(?:^|[_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?s?|nav|navbar|navigation|menu|breadcrumbs?|comments?|commentlist|disqus|respond|replies|reply|discussion|related|recommended"
+    r"|footer|complementary|contentinfo)(?:$|[_-])|^side-?bar$",
+    re.I,
+)
+LAYOUT = ("with-", "with_", "has-", "has_", "no-", "no_")
+#: Tags that leave an open head open, as do those of RAW.
+IN_HEAD = {"base", "basefont", "bgsound", "link", "meta", "head", "html"}
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>?",
     re.S,
@@ -64,26 +73,34 @@ SHORT, LONG, STOP_HIGH, STOP_LOW, LINKS = 70, 200, 0.30, 0.20, 0.5
 
 def blocks(page: str) -> Iterator[tuple[str, int, str, bool, bool]]:
     """(text, characters inside links, tag, inside furniture, inside an article), in page order."""
-    stack: list[tuple[str, bool, bool]] = []  # of block and dropped elements: name, furniture, main
+    stack: list[tuple[str, int, bool]] = []  # of block and dropped elements: name, furniture (1: an article in it is none), main
     parts: list[str] = []
     links = anchor = 0
-    at, end, tag, furniture, main = 0, len(page), "", False, False
+    at, end, tag, furniture, main = 0, len(page), "", 0, False
     raw_end: dict[str, re.Pattern] = {}
 
     def flush():
         nonlocal links
         text = " ".join(entities.unescape("".join(parts)).split())
-        got = (text, links, tag, furniture, main) if text else None
+        got = (text, links, tag, furniture > 0, main) if text else None
         parts.clear()
         links = 0
         return got
 
+    def close_head():
+        nonlocal tag, furniture, main
+        if stack and stack[-1][0] == "head":
+            stack.pop()
+            tag, furniture, main = stack[-1] if stack else ("", 0, False)
+
     while at < end:
         m = TOKEN.search(page, at)
         if not m:
             break
         if m.start() > at:
             piece = page[at : m.start()]
+            if piece.strip():
+                close_head()
             parts.append(piece)
             if anchor:
                 links += len(piece)
@@ -101,7 +118,7 @@ def blocks(page: str) -> Iterator[tuple[str, int, str, bool, bool]]:
                 if any(x[0] == name for x in stack):
                     while stack.pop()[0] != name:
                         pass
-            _, furniture, main = stack[-1] if stack else ("", False, False)
+            _, furniture, main = stack[-1] if stack else ("", 0, False)
             tag = stack[-1][0] if stack else ""
             continue
         if name in RAW:
@@ -110,6 +127,8 @@ def blocks(page: str) -> Iterator[tuple[str, int, str, bool, bool]]:
             close = raw_end[name].search(page, at)
             at = close.end() if close else end
             continue
+        if name not in IN_HEAD:
+            close_head()
         if name == "a":
             anchor = 1
         if name in BLOCKS or name in DROPPED:
@@ -121,14 +140,20 @@ def blocks(page: str) -> Iterator[tuple[str, int, str, bool, bool]]:
                 continue
             if stack and (name in ("p", "li", "td", "th", "tr", "dd", "dt") or name in HEADINGS) and stack[-1][0] in ({name} | ({"p"} if name != "li" else set())) and stack[-1][0] not in MAIN:
                 stack.pop()  # an end tag that may be left out
-                _, furniture, main = stack[-1] if stack else ("", False, False)
+                _, furniture, main = stack[-1] if stack else ("", 0, False)
             marks = " ".join(x for y in NAMED.findall(m[3]) for x in y if x) if m[3] else ""
             is_main = main or name in MAIN or "main" in marks.lower().split()
-            out = furniture or name in DROPPED or (name == "header" and not main) or bool(marks and name not in MAIN | {"body", "html"} and FURNITURE.search(marks))
+            out = 0 if name in MAIN and furniture == 1 else furniture
+            if name in DROPPED or (name == "header" and not main):
+                out = 2
+            elif marks and name not in MAIN | {"body", "html"} and FURNITURE.search(marks):
+                out = max(out, 2 if any(APART.search(x) for x in marks.split() if not x.lower().startswith(LAYOUT)) else 1)
             furniture, main, tag = out, is_main, name
             if not m[3].rstrip().endswith("/") or name in BLOCKS:
                 stack.append((name, furniture, main))
     if at < end:
+        if page[at:].strip():
+            close_head()
         parts.append(page[at:])
     if got := flush():
         yield got
@@ -139,7 +164,7 @@ def decide(text: str, links: int, tag: str, furniture: bool, main: bool, has_mai
     if furniture:
         return False
     n = len(text)
-    if links > LINKS * n and (n < LONG or not main):
+    if links > LINKS * n and not main:
         return False
     if main:
         return True

@@ -82,6 +82,23 @@ def test_article_without_furniture():
     assert html_text.main_text(page) == "A & B First bold text. More Second <x> one. point See this link and the rest of it."
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>T</title><meta charset=utf-8><body><article><p>Text.</p></article></body></html>", "Text."),
+        ("<head><style>p{}</style><p>Text.</p>", "Text."),
+        ("<head><script>x</script>\n<link href=x>\nText.", "Text."),
+        ("<head><title>T</title></head><body><p>Text.</p></body>", "Text."),
+        ('<div class="layout with-sidebar"><article><p>Text.</p></article><div class="sidebar"><article>Other.</article></div></div>', "Text."),
+        ('<main><div class="has-comments"><div class="widget-area"><article><p>Text.</p><div class="share">Share</div></article></div></div></main>', "Text."),
+        ('<article>Text.</article><div class="post-comments with-form"><article>Nice.</article></div><aside><article>Side.</article></aside><nav><div class="search"><article>Nav.</article></div></nav>', "Text."),
+        ('<article><p><a href=x>Linked text</a> here.</p><ul><li><a href=y>Point</a></li></ul><p>Text.</p></article><p><a href=z>Next</a></p>', "Linked text here. Point Text."),
+    ],
+)
+def test_heads_wrappers_and_links(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_pages_without_article_use_densities():
     good = "The rules of the game are in the book that we have on the table, and they are not hard to learn for you or for the others who play it with us. " * 2
     page = f"<div><a href=1>one</a> <a href=2>two</a> <a href=3>three</a></div><h2>Title</h2><p>{good}</p><p>Short one.</p><p>{good}</p><div><a href=4>next page of links</a></div><div>tail</div>"
