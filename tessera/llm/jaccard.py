@@ -261,10 +261,15 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def share_ids(ids: DataFrame) -> bool:
+    return ids.groupBy(ids.columns[0]).count().filter("count > 1").limit(1).count() > 0
+
+
+def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, apart: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document; if apart, doc, part and first (doc, part) of its component, where texts of one id are nodes of their own."""
     source = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    shared = source.groupBy("doc").count().filter("count > 1").limit(1).count() > 0
+    shared = apart or share_ids(source.select("doc"))
+    node = lambda d, p: F.struct(F.col(d).alias("doc"), F.col(p).alias("part")) if apart else F.col(d)
     source = source.select(F.coalesce("doc", F.lit(int(NONE))).alias("doc"), (F.xxhash64("text") if shared else F.lit(0).cast("bigint")).alias("part"), "text")
     blobs = "g int, blob binary"
 
@@ -319,8 +324,8 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
     groups = max(64, -(-total // group_bytes))
     shown = docs.sparkSession.sparkContext.broadcast(levels)  # COUNTERS bytes
 
-    classes = sizes.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    same = sizes.join(classes, ["n", "d1", "d2"]).select(F.col("rep").alias("a"), F.col("doc").alias("b")).filter("a <> b")
+    classes = sizes.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min(node("doc", "part")).alias("rep"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    same = sizes.join(classes, ["n", "d1", "d2"]).select(F.col("rep").alias("a"), node("doc", "part").alias("b")).filter("a <> b")
 
     def deal(batches):
         """The rarest shingles of each set; sets that were met in this batch of texts are dealt once."""
@@ -456,11 +461,12 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
     members = source.mapInArrow(deal, blobs).groupBy("g").applyInArrow(cells, blobs)
     chosen = members.groupBy("g").cogroup(texts.groupBy("d")).applyInArrow(choose, sent_schema)
     checked = settle(chosen.groupBy("g").applyInArrow(check_hubs, sent_schema))
-    near = checked.filter("role = 3").select(F.col("doc").alias("a"), F.col("doc2").alias("b"))
+    near = checked.filter("role = 3").select(node("doc", "part").alias("a"), node("doc2", "part2").alias("b"))
     early = components(near.unionByName(same))
 
     # points: documents of shared cells with their component and count vector, dealt by cell
-    points = checked.filter("role = 2").join(early, F.col("doc") == F.col("v"), "left").select("doc", "part", F.col("doc2").alias("n"), F.coalesce("label", "doc").alias("comp"), F.col("part2").alias("wide"), "blob")
+    component = F.coalesce("label", node("doc", "part"))
+    points = checked.filter("role = 2").join(early, node("doc", "part") == F.col("v"), "left").select("doc", "part", F.col("doc2").alias("n"), (F.xxhash64(component) if apart else component).alias("comp"), F.col("part2").alias("wide"), "blob")
     # a document goes to each group of cells once, with those of its cells that are there
     cell_schema = "g int, doc bigint, part bigint, n int, comp bigint, cells binary, vector binary"
     point_groups = max(16, groups // 4)  # few cells are left
@@ -562,13 +568,16 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
             if me != last:
                 last, own = me, hashes(sets[me])
             if linked(own, hashes(sets[other]), percent):
-                found.append((r["doc"], r["doc2"]))
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+                found.append((*me, *other))
+        columns = list(zip(*found, strict=True)) if found else [[]] * 4
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(PAIR.names, columns, strict=True)})
 
     asked = pairs.mapInArrow(ask, f"q int, role int, {pair_schema}")
-    late = settle(asked.groupBy("q").cogroup(texts.groupBy("d")).applyInArrow(answer, sent_schema).groupBy("g").applyInArrow(check_pairs, "a bigint, b bigint"))
+    late = settle(asked.groupBy("q").cogroup(texts.groupBy("d")).applyInArrow(answer, sent_schema).groupBy("g").applyInArrow(check_pairs, pair_schema).select(node("doc", "part").alias("a"), node("doc2", "part2").alias("b")))
     labels = components(early.select(F.col("v").alias("a"), F.col("label").alias("b")).unionByName(late))
-    result = sizes.join(labels, sizes["doc"] == labels["v"], "left")
+    result = sizes.join(labels, node("doc", "part") == labels["v"], "left")
+    if apart:
+        return result.select("doc", "part", component.alias("first"))
     hidden = lambda c: F.when(c != int(NONE), c)
     return result.select(hidden(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), hidden(F.coalesce("label", "doc")).alias("component_id"))
 
@@ -577,3 +586,16 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The documents without those that link to a smaller doc_id's component; one of each group stays."""
     linked_docs = settle(link(docs, **how).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct())
     return docs.join(linked_docs, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+
+
+def keep_one_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """As keep_one, but rows that share a doc_id (or have none) stay or go by their own texts; of rows with one id and text one stays, if the text is not blank."""
+    if not share_ids(docs.select(id_col)):
+        return keep_one(docs, id_col=id_col, text_col=text_col, **how)
+    doc, part = (f"__{c}" + "_" * max(map(len, docs.columns)) for c in ("doc", "part"))  # names that no column has
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = link(docs, id_col=id_col, text_col=text_col, apart=True, **how)
+    gone = settle(rows.filter(F.struct("doc", "part") != F.col("first")).select(F.col("doc").alias(doc), F.col("part").alias(part)).distinct())
+    kept = docs.withColumn(doc, F.coalesce(F.col(id_col).cast("bigint"), F.lit(int(NONE)))).withColumn(part, F.xxhash64(text)).join(gone, [doc, part], "left_anti")
+    written = text.rlike(r"[^\x20\x09-\x0D]")
+    return kept.filter(~written).unionByName(kept.filter(written).dropDuplicates([doc, part])).select(*(f"`{c}`" for c in docs.columns))

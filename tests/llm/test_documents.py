@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tessera.llm import exact_dedup, external, jaccard, mixing, packing, pii, quality, repeats, tokens
 
 from . import brute
@@ -199,6 +200,26 @@ def test_jaccard_odd_rows(odd_docs, no_docs):
     assert jaccard.link(no_docs).count() == 0 and jaccard.keep_one(no_docs).count() == 0
 
 
+def test_texts_of_shared_ids_stay_or_go_by_themselves(spark, odd_docs):
+    rows, rng = [(d, t, i) for i, (d, t) in enumerate(variants())], random.Random(9)
+    rows = [(rng.choice([None, d // 3, d // 40]), t, i) for d, t, i in rows] + [(None, t, 1000 + i) for _, t, i in rows[:50]]
+    rows += [(d, t, 2000 + i) for d, t, i in rows[:20]]
+    got = corpus_pipeline.jaccard_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, i int"), None).collect()
+    parts = sorted({(-1 if d is None else d, t or "") for d, t, _ in rows})
+    groups = {}
+    for j, n, c in brute.components([(j, t) for j, (_, t) in enumerate(parts)]):
+        groups.setdefault(c, []).append((parts[j], n))
+    kept = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"] or "") for r in got)
+    for members in groups.values():
+        held = [x for x in kept if x in {m for m, _ in members}]
+        if members[0][1]:
+            assert len(held) == 1 and held[0][0] == min(m[0] for m, _ in members)
+        else:
+            assert len(held) == sum((-1 if d is None else d, t or "") == members[0][0] for d, t, _ in rows)
+    odd = corpus_pipeline.jaccard_stage(spark, odd_docs, None)
+    assert odd.columns == odd_docs.columns and collected(odd.filter("doc_id IN (5, 9) OR doc_id IS NULL").select("doc_id", "text")) == sorted([(9, "other text of the same id here"), (None, "no id at all in this row"), (None, None)], key=str)
+
+
 def test_long_words_and_segments():
     text = b"abc " * 700_000 + b"x" * 3_000_000 + b" end"
     one = jaccard.shingle_sets([text])[0]
