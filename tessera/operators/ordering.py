@@ -12,16 +12,19 @@ from pyspark.sql import functions as F
 from ..checkpoints import settle
 
 
-def longest_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """g, nid, level: the longest path from a source, by relaxation over all graphs at once (one join a round; cycles stop at max_rounds)."""
+def longest_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """g, nid, level: the longest path from a source, by relaxation over all graphs at once (one join a round); a cycle that is reached raises ValueError."""
     levels = settle(nodes.select("g", "nid", F.lit(0).alias("level")))
-    for _ in range(max_rounds):
+    most = nodes.groupBy("g").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(most):  # a path of an acyclic graph has fewer edges than its graph has nodes
         raised = edges.join(levels, (edges["g"] == levels["g"]) & (edges["src"] == levels["nid"])).groupBy(edges["g"].alias("eg"), F.col("dst").alias("en")).agg((F.max("level") + 1).alias("up"))
         joined = levels.join(raised, (F.col("g") == F.col("eg")) & (F.col("nid") == F.col("en")), "left")
         new = settle(joined.select("g", "nid", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level"), (F.coalesce("up", F.lit(0)) > F.col("level")).alias("moved")))
         levels = new.drop("moved")
         if not new.filter("moved").limit(1).count():
-            break
+            return levels
+    if most:
+        raise ValueError(f"a graph has a cycle: levels still rise after {most} rounds")
     return levels
 
 

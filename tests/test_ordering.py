@@ -30,6 +30,16 @@ def test_orders(spark):
     assert [r["nid"] for r in O.topological(nodes, loop).orderBy("place").collect()] == ["d", "c", "a", "b"]
 
 
+def test_levels_of_long_paths_and_cycles(spark):
+    nodes = spark.createDataFrame([("g", f"n{i}") for i in range(68)] + [("h", "n0")], "g string, nid string").coalesce(1)
+    edges = spark.createDataFrame([("g", f"n{i}", f"n{i + 1}") for i in range(67)], "g string, src string, dst string").coalesce(1)
+    assert {(r["g"], r["nid"]): r["level"] for r in O.longest_levels(nodes, edges).collect()} == {("g", f"n{i}"): i for i in range(68)} | {("h", "n0"): 0}
+    few = nodes.filter("nid IN ('n0', 'n1', 'n2')")
+    with pytest.raises(ValueError, match="cycle"):
+        O.longest_levels(few, edges.filter("src IN ('n0', 'n1')").union(spark.createDataFrame([("g", "n1", "n0")], edges.schema)))
+    assert O.longest_levels(nodes.limit(0), edges).count() == 0
+
+
 def test_clusters_and_spans(spark):
     items = spark.createDataFrame([("g", "causes", 5, [1.0, 0.0]), ("g", "makes", 3, [0.99, 0.1]), ("g", "is", 9, [0.0, 1.0])], "g string, phrase string, n int, vec array<double>")
     assert {r["phrase"]: r["cluster"] for r in O.greedy_clusters(items).collect()} == {"is": 0, "causes": 1, "makes": 1}
