@@ -1,4 +1,4 @@
-"""Boxes: overlaps, colliders, separation and treemaps. boxes(scene, nid, x, y, w, h)."""
+"""Boxes: overlaps, colliders, group boxes and treemaps. boxes(scene, nid, x, y, w, h)."""
 
 from __future__ import annotations
 
