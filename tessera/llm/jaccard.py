@@ -15,14 +15,18 @@ the threshold.  All links are found, none is guessed:
    hashed into groups and the groups' counts are the coordinates.  An R-tree over the points (boxes are
    coordinate-wise maxima, with size ranges) is joined with itself; the sum of coordinate
    minima bounds the overlap from above, and node pairs, then document pairs, that cannot
-   reach the threshold, or lie in one component, are dropped.
-4. Surviving pairs are verified on their sets, and components are joined by
-   contraction: every round at least halves the nodes.
+   reach the threshold are dropped.  Of what survives a task hands on a forest, which would
+   connect the same components as all the pairs, so a family of copies costs as many pairs as it has members.
+4. The forest is verified on the sets, and components are joined by contraction: every round at least halves the nodes.
+5. Where a pair of the forest failed, pairs that it stood for may link.  So the documents of a tree that did not become one
+   component meet once more, now with their sets: survivors of the R-tree are verified
+   at once, and components that are joined need no more pairs.
 
 Cells are taken by rarity, so a passage that a third of all documents share is met only by
 documents made of little else.  Shuffled are about 12 bytes per dealt shingle, the
 compressed texts once for each of the two verifications, the sets of documents that are verified, and
-count vectors (size to twice that of small numbers) of documents in shared cells.
+count vectors (size to twice that of small numbers) of documents in shared cells.  The documents of one cell that come
+as far as step 3 or 5 are held by one task; hubs with many documents meet them in several.
 
 Shingles are compared by 64-bit hashes.
 
@@ -50,6 +54,8 @@ from .external import BYTE, NONE, ODD, RUN, Sorter, dealt, doc_group, expand, mi
 #: Bytes of text of one array operation, and of one group of documents or shingles on average.
 CHUNK = 1 << 21
 GROUP_BYTES = 8 << 20
+#: Documents that meet the set of one hub in a task, roughly.
+HUB_ROWS = 4096
 #: Counters of shingles by hash.
 COUNTERS = 1 << 20
 SPACE = np.zeros(256, bool)
@@ -58,7 +64,7 @@ POWER = np.cumprod(np.concatenate([[np.uint64(1)], np.full(CHUNK + (1 << 16), OD
 INVERSE = np.cumprod(np.concatenate([[np.uint64(1)], np.full(CHUNK + (1 << 16), np.uint64(pow(int(ODD[0]), -1, 2**64)), np.uint64)]))
 
 CELL = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("part", "<i8"), ("n", "<i4")])
-MEMBER = np.dtype([*CELL.descr, ("hub", "<i8"), ("hub_part", "<i8"), ("hub_n", "<i4"), ("need", "<i4")])
+MEMBER = np.dtype([*CELL.descr, ("hub", "<i8"), ("hub_part", "<i8"), ("hub_n", "<i4"), ("need", "<i4"), ("size", "<i4")])
 PAIR = np.dtype([("doc", "<i8"), ("part", "<i8"), ("doc2", "<i8"), ("part2", "<i8")])
 
 
@@ -148,29 +154,60 @@ def least_overlap(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-class Node:
-    """A box of the R-tree: points (rows) below it, their coordinate-wise maxima and sizes."""
+class Union:
+    """Disjoint sets of numbers."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def find(self, x: int) -> int:
+        parent = self.parent
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
 
-    __slots__ = ("children", "high", "low", "rows", "top")
+    def join(self, x: int, y: int) -> None:
+        self.parent[self.find(x)] = self.find(y)
+
+
+class Node:
+    """A box of the R-tree: points (rows) or nodes below it, the rows' count vectors, coordinate-wise maxima, sizes, and a component once it is the only one."""
 
-    def __init__(self, rows, children, top, low, high):
-        self.rows, self.children, self.top, self.low, self.high = rows, children, top, low, high
+    __slots__ = ("children", "counts", "high", "low", "only", "rows", "top")
 
+    def __init__(self, rows, children, counts, top, low, high):
+        self.rows, self.children, self.counts, self.top, self.low, self.high, self.only = rows, children, counts, top, low, high, None
 
-def build(n: np.ndarray, vectors: list[np.ndarray], fan: int = 12) -> Node:
-    """Bulk-loads an R-tree: points in order of size and leading coordinates, fan to a node."""
-    order = sorted(range(len(n)), key=lambda i: (int(n[i]), vectors[i][:4].tobytes()))
+    def component(self, comp: list[int], union: Union) -> int | None:
+        if self.only is None:
+            if self.children is None:
+                roots = {union.find(comp[i]) for i in self.rows}
+            else:
+                roots = {k.component(comp, union) for k in self.children}
+            if len(roots) > 1 or None in roots:
+                return None
+            self.only = roots.pop()
+        self.only = union.find(self.only)
+        return self.only
+
+
+def build(rows: list[int], n: np.ndarray, vectors: list[np.ndarray], turn: int = 0, fan: int = 12) -> Node:
+    """Bulk-loads an R-tree: points in order of rough size and of some coordinates (from turn on), fan to a node."""
+    lead = lambda v: v[turn % len(v) :][:4].tobytes()
+    rough = (np.log2(np.maximum(n, 1)) * 6).astype(int)
+    order = sorted(range(len(rows)), key=lambda x: (rough[x], lead(vectors[x]), int(n[x])))
     level = []
     for lo in range(0, len(order), fan):
-        rows = order[lo : lo + fan]
-        groups = min(len(vectors[i]) for i in rows)
-        level.append(Node(rows, None, np.max([folded(vectors[i], groups) for i in rows], 0), int(n[rows[0]]), int(n[rows[-1]])))
+        some = order[lo : lo + fan]
+        groups = min(len(vectors[x]) for x in some)
+        counts = np.stack([folded(vectors[x], groups) for x in some]).astype(np.uint16)
+        level.append(Node([rows[x] for x in some], None, counts, counts.max(0), int(n[some].min()), int(n[some].max())))
     while len(level) > 1:
         above = []
         for lo in range(0, len(level), fan):
             kids = level[lo : lo + fan]
             groups = min(len(k.top) for k in kids)
-            above.append(Node(None, kids, np.max([folded(k.top, groups) for k in kids], 0), min(k.low for k in kids), max(k.high for k in kids)))
+            above.append(Node(None, kids, None, np.max([folded(k.top, groups) for k in kids], 0), min(k.low for k in kids), max(k.high for k in kids)))
         level = above
     return level[0]
 
@@ -187,29 +224,95 @@ def may_link(a: Node, b: Node, percent: int) -> bool:
     return overlap_bound(a.top, b.top) >= least_overlap(a.low, b.low, percent)
 
 
-def candidate_pairs(n: np.ndarray, comp: np.ndarray, vectors: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of points in different components whose bound allows a link, by a self-join of the R-tree."""
-    root = build(n, vectors)
+def survivors(a: Node, b: Node, sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of points of two leaves whose bound allows a link, the most alike first."""
+    groups = min(a.counts.shape[1], b.counts.shape[1])
+    x, y = folded(a.counts, groups).astype(np.uint16), folded(b.counts, groups).astype(np.uint16)
+    shared = np.minimum(x[:, None, :], y[None, :, :]).sum(-1, dtype=np.int64)
+    na, nb = sizes[a.rows].astype(np.int64)[:, None], sizes[b.rows].astype(np.int64)[None, :]
+    good = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (shared >= least_overlap(na, nb, percent))
+    if a is b:
+        good &= np.triu(np.ones(good.shape, bool), 1)
+    i, j = np.nonzero(good)
+    likeness = shared[i, j] / np.maximum(1, (na + nb)[i, j] - shared[i, j])
+    return [(a.rows[i[k]], b.rows[j[k]]) for k in np.argsort(-likeness, kind="stable")]
+
+
+def tree_join(root: Node, sizes: np.ndarray, comp: list[int], union: Union, percent: int, accept) -> Iterator[tuple[int, int]]:
+    """Self-join of the R-tree: pairs that survive, are of different components and are accepted; each joins its components."""
     stack = [(root, root)]
     while stack:
         a, b = stack.pop()
+        only = a.component(comp, union)
+        if only is not None and only == (b.component(comp, union) if b is not a else only):
+            continue
         if a is not b and not may_link(a, b, percent):
             continue
         if a.children is None and b.children is None:
-            for x, i in enumerate(a.rows):
-                for j in a.rows[x + 1 :] if a is b else b.rows:
-                    small, large = sorted((int(n[i]), int(n[j])))
-                    if comp[i] != comp[j] and 100 * small >= percent * large and overlap_bound(vectors[i], vectors[j]) >= least_overlap(small, large, percent):
-                        yield i, j
+            for i, j in survivors(a, b, sizes, percent):
+                if union.find(comp[i]) != union.find(comp[j]) and accept(i, j):
+                    union.join(comp[i], comp[j])
+                    yield i, j
         elif a is b:
             kids = a.children
-            stack += [(kids[x], kids[y]) for x in range(len(kids)) for y in range(x, len(kids))]
+            stack += [(kids[x], kids[y]) for x in range(len(kids) - 1) for y in range(len(kids) - 1, x, -1)]
+            stack += [(k, k) for k in kids]  # first what is alike
         elif b.children is None or (a.children is not None and len(a.children) >= len(b.children)):
             stack += [(k, b) for k in a.children]
         else:
             stack += [(a, k) for k in b.children]
 
 
+def candidate_pairs(n: np.ndarray, comp: np.ndarray, vectors: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Every pair of points of different components that survives."""
+    found: list[tuple[int, int]] = []
+    _, comp = np.unique(comp, return_inverse=True)
+    for _ in tree_join(build(list(range(len(n))), n, vectors), n, comp.tolist(), Union(len(n)), percent, lambda i, j: found.append((i, j))):
+        pass  # none is accepted, so none joins components
+    return found
+
+
+def forest(cells: list[np.ndarray], n: np.ndarray, comp: np.ndarray, vector, percent: int, accept, turn: int = 0) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Joins the R-tree over each cell's points: pairs that connect what all accepted pairs would, and (point, tree) of the points of components that were joined.
+
+    cells: of each point; vector(i): its count vector. Cells with the same points are joined once.
+    """
+    of = np.repeat(np.arange(len(cells)), list(map(len, cells)))
+    cell = np.concatenate(cells) if cells else np.empty(0, np.uint64)
+    order = np.lexsort((of, cell))
+    cell, of = cell[order], of[order]
+    if not len(of):
+        return [], []
+    _, comp = np.unique(comp, return_inverse=True)
+    cuts = np.flatnonzero(np.diff(cell, prepend=cell[:1] ^ np.uint64(1)) != 0)
+    ends = np.append(cuts[1:], len(of))
+    members = comp[of]
+    mixed = np.minimum.reduceat(members, cuts) != np.maximum.reduceat(members, cuts)
+    kind = np.stack([np.add.reduceat(mix((of.astype(np.uint64) + np.uint64(1)) * ODD[k]), cuts) for k in (6, 7)], 1)
+    _, once = np.unique(kind, axis=0, return_index=True)
+    once = once[mixed[once]]
+    once = once[np.argsort((ends - cuts)[once], kind="stable")[::-1]]  # large cells join most
+    comp, union = comp.tolist(), Union(int(comp.max()) + 1)
+    found: list[tuple[int, int]] = []
+    for k in once:
+        rows = of[cuts[k] : ends[k]]
+        if len(rows) == 2:
+            i, j = int(rows[0]), int(rows[1])
+            small, large = sorted((int(n[i]), int(n[j])))
+            if 100 * small < percent * large or union.find(comp[i]) == union.find(comp[j]) or overlap_bound(vector(i), vector(j)) < least_overlap(small, large, percent):
+                continue
+            if accept(i, j):
+                union.join(comp[i], comp[j])
+                found.append((i, j))
+            continue
+        if len({union.find(comp[i]) for i in rows}) == 1:
+            continue
+        root = build(rows.tolist(), n[rows], [vector(i) for i in rows], turn)
+        found += tree_join(root, n, comp, union, percent, accept)
+    joined = {comp[i] for pair in found for i in pair}
+    return found, [(i, union.find(c)) for i, c in enumerate(comp) if c in joined]
+
+
 def least_cells(a, b, percent: int):
     """Cells that linking sets of sizes a and b share: of their first shared shingles in order so many lie in both prefixes."""
     return np.maximum(1, least_overlap(a, b, percent) + 1 - -(-percent * np.maximum(a, b) // 100))
@@ -324,8 +427,11 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
     groups = max(64, -(-total // group_bytes))
     shown = docs.sparkSession.sparkContext.broadcast(levels)  # COUNTERS bytes
 
-    classes = sizes.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min(node("doc", "part")).alias("rep"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    same = sizes.join(classes, ["n", "d1", "d2"]).select(F.col("rep").alias("a"), node("doc", "part").alias("b")).filter("a <> b")
+    classes = sizes.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min(node("doc", "part")).alias("rep"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    classes = settle(classes)
+    hot = max(1_000, sizes.count() // 256)  # fewer than 256 classes can have more members
+    same = sizes.join(F.broadcast(classes.filter(F.col("c") > hot)), ["n", "d1", "d2"]).unionByName(sizes.join(classes.filter(F.col("c") <= hot), ["n", "d1", "d2"]))
+    same = same.select(F.col("rep").alias("a"), node("doc", "part").alias("b")).filter("a <> b")
 
     def deal(batches):
         """The rarest shingles of each set; sets that were met in this batch of texts are dealt once."""
@@ -371,7 +477,7 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
                 out[c] = rows[c][many]
             hub = rows[first[group[many]]]
             out["hub"], out["hub_part"], out["hub_n"] = hub["doc"], hub["part"], hub["n"]
-            out["need"] = need[many]
+            out["need"], out["size"] = need[many], np.bincount(group, minlength=len(first))[group[many]]
             pairs += list(dealt(doc_group(out["doc"], out["part"], groups), out))
         return pa.Table.from_batches([record(pairs)])
 
@@ -402,8 +508,12 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
         return pa.table({n: pa.array(c, k) for n, c, k in zip(sent_names, columns, sent_kinds, strict=True)})
 
-    def group_of(doc: int, part: int) -> int:
-        return int(doc_group(np.array([doc], np.int64), np.array([part], np.int64), groups)[0])
+    def group_of(doc: int, part: int, share: int = 0) -> int:
+        """The group of a document; a hub with many documents has several."""
+        return int((int(doc_group(np.array([doc], np.int64), np.array([part], np.int64), groups)[0]) + share * 7_919) % groups)
+
+    def shares(size: int) -> int:
+        return 1 + size // HUB_ROWS
 
     def choose(key, members: pa.Table, texts: pa.Table) -> pa.Table:
         """Sends each document's set to its most shared hub, hubs' sets to themselves, and keeps count vectors."""
@@ -421,25 +531,29 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
         new = np.concatenate([[True], np.any([rows[c][1:] != rows[c][:-1] for c in ("doc", "part", "hub", "hub_part")], axis=0)])
         at = np.flatnonzero(new)
         best: dict[tuple[int, int], tuple] = {}
-        for r, c in zip(rows[at], np.diff([*at, len(rows)]), strict=True):
+        for r, c, largest in zip(rows[at], np.diff([*at, len(rows)]), np.maximum.reduceat(rows["size"], at).tolist(), strict=True):
             me, hub = (int(r["doc"]), int(r["part"])), (int(r["hub"]), int(r["hub_part"]))
             if me == hub:
                 if me in sets and c >= least_cells(int(r["n"]), int(r["n"]), percent):
-                    out.append((1, group_of(*me), *me, *me, zstandard.compress(sets[me].tobytes(), 1)))
+                    blob = zstandard.compress(sets[me].tobytes(), 1)
+                    out += [(1, g, *me, *me, blob) for g in {group_of(*me, k) for k in range(shares(largest))}]
                 continue
             small, large = sorted((int(r["n"]), int(r["hub_n"])))
             if 100 * small >= percent * large and c >= least_cells(small, large, percent):
-                best[me] = max(best.get(me, (0,)), (int(c), -hub[0], -hub[1]))
-        for me, (_, hub, hub_part) in best.items():
+                best[me] = max(best.get(me, (0,)), (int(c), -hub[0], -hub[1], largest))
+        for me, (_, hub, hub_part, largest) in best.items():
             if me in sets:
-                out.append((0, group_of(-hub, -hub_part), *me, -hub, -hub_part, zstandard.compress(sets[me].tobytes(), 1)))
+                share = int(mix(np.array([me[0] ^ me[1]], np.int64).astype(np.uint64))[0]) % shares(largest)
+                out.append((0, group_of(-hub, -hub_part, share), *me, -hub, -hub_part, zstandard.compress(sets[me].tobytes(), 1)))
         own = key[0].as_py()
         cuts = np.flatnonzero(np.concatenate([[True], (rows["doc"][1:] != rows["doc"][:-1]) | (rows["part"][1:] != rows["part"][:-1])]))
         for a, b in zip(cuts, [*cuts[1:], len(rows)], strict=True):
             me = (int(rows["doc"][a]), int(rows["part"][a]))
             if me in sets:
                 vector = count_vector(sets[me])
-                out.append((2, own, *me, len(sets[me]), len(vector), zstandard.compress(vector.tobytes() + np.sort(rows["hash"][a:b]).tobytes(), 1)))
+                # a link shares this many cells or more, so it shares one that is not among the last ones of either document
+                some = np.sort(rows["hash"][a:b])[: b - a + 1 - int(rows["need"][a:b].min())]
+                out.append((2, own, *me, len(sets[me]), len(vector), zstandard.compress(vector.tobytes() + some.tobytes(), 1)))
         return sent(out)
 
     def hashes(blob: bytes) -> np.ndarray:
@@ -447,16 +561,18 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
 
     def check_hubs(table: pa.Table) -> pa.Table:
         """The links to hubs (role 3); points pass."""
-        role = table["role"]
-        hubs = {(r["doc"], r["part"]): r["blob"] for r in table.filter(pa.compute.equal(role, 1)).to_pylist()}
+        points = table.filter(pa.compute.equal(table["role"], 2))
+        table = table.filter(pa.compute.less(table["role"], 2)).sort_by([("doc2", "ascending"), ("part2", "ascending"), ("role", "descending")])
+        role, g, doc, part, hub, hub_part = (table[c].to_numpy() for c in sent_names[:6])
         found, last, hub_set = [], None, None
-        for r in sorted(table.filter(pa.compute.equal(role, 0)).to_pylist(), key=lambda r: (r["doc2"], r["part2"])):
-            hub = (r["doc2"], r["part2"])
-            if hub != last:
-                last, hub_set = hub, hashes(hubs[hub]) if hub in hubs else None
-            if hub_set is not None and linked(hashes(r["blob"]), hub_set, percent):
-                found.append((3, r["g"], r["doc"], r["part"], *hub, None))
-        return pa.concat_tables([table.filter(pa.compute.equal(role, 2)), sent(found)])
+        for i, blob in enumerate(table["blob"]):
+            if (hub[i], hub_part[i]) != last:
+                last, hub_set = (hub[i], hub_part[i]), None
+            if role[i]:
+                hub_set = hashes(blob.as_py())
+            elif hub_set is not None and linked(hashes(blob.as_py()), hub_set, percent):
+                found.append((3, g[i], doc[i], part[i], hub[i], hub_part[i], None))
+        return pa.concat_tables([points, sent(found)])
 
     members = source.mapInArrow(deal, blobs).groupBy("g").applyInArrow(cells, blobs)
     chosen = members.groupBy("g").cogroup(texts.groupBy("d")).applyInArrow(choose, sent_schema)
@@ -493,74 +609,69 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in cell_schema.split(", ")])
 
-    def residual(table: pa.Table) -> pa.Table:
-        """Pairs of different components that may link, by an R-tree over each cell."""
-        lists = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["cells"]]
-        of = np.repeat(np.arange(len(lists)), list(map(len, lists)))  # the row of each member of a cell
-        cell = np.concatenate(lists) if lists else np.empty(0, np.uint64)
-        del lists
-        comp, n, doc, part = (table[c].to_numpy()[of] for c in ("comp", "n", "doc", "part"))
-        order = np.lexsort((part, doc, cell))
-        cuts = np.flatnonzero(np.diff(cell[order], prepend=cell[order][:1] ^ np.uint64(1)) != 0)
-        ends = [*cuts[1:], len(order)]
-        ordered = comp[order]
-        mixed = np.minimum.reduceat(ordered, cuts) != np.maximum.reduceat(ordered, cuts) if len(cuts) else []
-        memory: dict[int, np.ndarray] = {}
-        stored = table["vector"]
-        found: set[tuple[int, int, int, int]] = set()
-        tried: set[tuple[int, int]] = set()
+    marked_schema = "doc bigint, part bigint, doc2 bigint, part2 bigint, g int, tree int"
+    marked_names = [x.split()[0] for x in marked_schema.split(", ")]
 
-        def vector(i: int) -> np.ndarray:
-            k = int(of[i])
-            if k not in memory:
-                memory[k] = np.frombuffer(zstandard.decompress(stored[k].as_py()), np.uint8)
-            return memory[k]
+    def residual(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        """A forest of the pairs of different components that may link, by an R-tree over each cell, and (g and tree given) the documents of each tree."""
+        stored, memory = table["vector"], {}
 
-        for a, b, m in zip(cuts, ends, mixed, strict=True):
-            if not m:
-                continue
-            rows = order[a:b]
-            if b - a == 2:
-                i, j = int(rows[0]), int(rows[1])
-                key = (int(of[i]), int(of[j]))
-                small, large = sorted((int(n[i]), int(n[j])))
-                if key in tried or 100 * small < percent * large:
-                    continue
-                tried.add(key)
-                hits = [(0, 1)] if overlap_bound(vector(i), vector(j)) >= least_overlap(small, large, percent) else []
-            else:
-                hits = candidate_pairs(n[rows], comp[rows], [vector(i) for i in rows], percent)
-            for x, y in hits:
-                i, j = rows[x], rows[y]
-                found.add(min((int(doc[i]), int(part[i]), int(doc[j]), int(part[j])), (int(doc[j]), int(part[j]), int(doc[i]), int(part[i]))))
-        columns = list(zip(*sorted(found), strict=True)) if found else [[]] * 4
-        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(PAIR.names, columns, strict=True)})
+        def vector(i: int) -> np.ndarray:
+            if i not in memory:
+                memory[i] = np.frombuffer(zstandard.decompress(stored[int(i)].as_py()), np.uint8)
+            return memory[i]
+
+        cells_of = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["cells"]]
+        n, comp, doc, part = (table[c].to_numpy() for c in ("n", "comp", "doc", "part"))
+        edges, trees = forest(cells_of, n, comp, vector, percent, lambda i, j: True, 5 * key[0].as_py())
+        i, j = np.array(edges, np.int64).reshape(-1, 2).T
+        swap = (doc[i] > doc[j]) | ((doc[i] == doc[j]) & (part[i] > part[j]))
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        k, tree = np.array(trees, np.int64).reshape(-1, 2).T
+        columns = [np.concatenate([x[y], x[k]]) for x, y in ((doc, i), (part, i), (doc, j), (part, j))]
+        none = pa.nulls(len(i), pa.int32())
+        marks = [pa.concat_arrays([none, pa.array(x, pa.int32())]) for x in (np.full(len(k), key[0].as_py()), tree)]
+        return pa.table([*map(pa.array, columns), *marks], marked_names)
 
     pair_schema = "doc bigint, part bigint, doc2 bigint, part2 bigint"
-    pairs = settle(points.mapInArrow(spread, cell_schema).groupBy("g").applyInArrow(residual, pair_schema).distinct())
+    traced = settle(points.mapInArrow(spread, cell_schema).groupBy("g").applyInArrow(residual, marked_schema))
+    pairs = traced.filter("tree IS NULL").select(*PAIR.names).distinct()
+    marks = traced.filter("tree IS NOT NULL").select("doc", "part", "g", "tree")
 
     # verification, in the group of a pair's first document: each set goes there once, however many pairs it is in
     def ask(batches):
         for b in batches:
             d, p, d2, p2 = (b.column(i).to_numpy() for i in range(4))
-            for a, ap, role in ((d, p, 0), (d2, p2, 1)):
-                yield pa.RecordBatch.from_arrays([pa.array(doc_group(a, ap, groups), pa.int32()), pa.array(np.full(len(a), role, np.int32)), *b.columns], ["q", "role", *PAIR.names])
+            own = (d == d2) & (p == p2)  # documents of trees: their sets are kept
+            for a, ap, role in ((d, p, np.where(own, 2, 0)), (d2[~own], p2[~own], 1)):
+                rows = b if len(a) == len(d) else b.filter(pa.array(~own))
+                yield pa.RecordBatch.from_arrays([pa.array(doc_group(a, ap, groups), pa.int32()), pa.array(np.full(len(a), role, np.int32) if np.isscalar(role) else role.astype(np.int32)), *rows.columns], ["q", "role", *PAIR.names])
 
     def answer(asked: pa.Table, texts: pa.Table) -> pa.Table:
         rows = asked.to_pylist()
         wanted: dict[tuple[int, int], set[int]] = {}
+        kept: set[tuple[int, int]] = set()
         out = []
         for r in rows:
+            me = (r["doc"], r["part"]) if r["role"] != 1 else (r["doc2"], r["part2"])
+            to = wanted.setdefault(me, set())
+            if r["role"] == 2:
+                kept.add(me)
+                continue
             target = group_of(r["doc"], r["part"])
-            wanted.setdefault((r["doc"], r["part"]) if r["role"] == 0 else (r["doc2"], r["part2"]), set()).add(target)
+            to.add(target)
             if r["role"] == 0:
                 out.append((4, target, r["doc"], r["part"], r["doc2"], r["part2"], None))
         for me, s in (wanted_sets(texts, set(wanted)) if rows else {}).items():
             blob = zstandard.compress(s.tobytes(), 1)
             out += [(0, target, *me, *me, blob) for target in sorted(wanted[me])]
+            if me in kept:
+                out.append((5, group_of(*me), *me, len(s), 0, blob))
         return sent(out)
 
     def check_pairs(table: pa.Table) -> pa.Table:
+        """The links among the pairs (role 3); sets that are kept (5) pass."""
+        kept = table.filter(pa.compute.equal(table["role"], 5))
         sets = {(r["doc"], r["part"]): r["blob"] for r in table.filter(pa.compute.equal(table["role"], 0)).to_pylist()}
         found, last, own = [], None, None
         for r in sorted(table.filter(pa.compute.equal(table["role"], 4)).to_pylist(), key=lambda r: (r["doc"], r["part"])):
@@ -568,13 +679,30 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
             if me != last:
                 last, own = me, hashes(sets[me])
             if linked(own, hashes(sets[other]), percent):
-                found.append((*me, *other))
-        columns = list(zip(*found, strict=True)) if found else [[]] * 4
-        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(PAIR.names, columns, strict=True)})
-
-    asked = pairs.mapInArrow(ask, f"q int, role int, {pair_schema}")
-    late = settle(asked.groupBy("q").cogroup(texts.groupBy("d")).applyInArrow(answer, sent_schema).groupBy("g").applyInArrow(check_pairs, pair_schema).select(node("doc", "part").alias("a"), node("doc2", "part2").alias("b")))
-    labels = components(early.select(F.col("v").alias("a"), F.col("label").alias("b")).unionByName(late))
+                found.append((3, r["g"], *me, *other, None))
+        return pa.concat_tables([kept, sent(found)])
+
+    def settle_tree(table: pa.Table) -> pa.Table:
+        """Links among the documents of a tree that join its components."""
+        sets = [hashes(x.as_py()) for x in table["blob"]]
+        vectors = [count_vector(x) for x in sets]
+        n, comp, doc, part = (table[c].to_numpy() for c in ("n", "comp", "doc", "part"))
+        edges, _ = forest([np.zeros(1, np.uint64)] * len(sets), n, comp, vectors.__getitem__, percent, lambda i, j: linked(sets[i], sets[j], percent))
+        i, j = np.array(edges, np.int64).reshape(-1, 2).T
+        return pa.table([pa.array(x) for x in (doc[i], part[i], doc[j], part[j])], PAIR.names)
+
+    ends = lambda rows: rows.select(node("doc", "part").alias("a"), node("doc2", "part2").alias("b"))
+    edges_of = lambda labels: labels.select(F.col("v").alias("a"), F.col("label").alias("b"))
+    own = marks.select("doc", "part").distinct().select("doc", "part", F.col("doc").alias("doc2"), F.col("part").alias("part2"))
+    asked = pairs.unionByName(own).mapInArrow(ask, f"q int, role int, {pair_schema}")
+    late = settle(asked.groupBy("q").cogroup(texts.groupBy("d")).applyInArrow(answer, sent_schema).groupBy("g").applyInArrow(check_pairs, sent_schema))
+    labels = components(edges_of(early).unionByName(ends(late.filter("role = 3"))))
+    placed = marks.join(labels, node("doc", "part") == F.col("v"), "left").select("doc", "part", "g", "tree", component.alias("comp"))
+    torn = settle(placed.groupBy("g", "tree").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("g", "tree"))
+    if torn.limit(1).count():
+        placed = placed.join(torn, ["g", "tree"]).withColumn("comp", F.xxhash64("comp") if apart else F.col("comp"))
+        placed = placed.join(late.filter("role = 5").select("doc", "part", F.col("doc2").cast("int").alias("n"), "blob"), ["doc", "part"])
+        labels = components(edges_of(labels).unionByName(ends(placed.groupBy("g", "tree").applyInArrow(settle_tree, pair_schema))))
     result = sizes.join(labels, node("doc", "part") == labels["v"], "left")
     if apart:
         return result.select("doc", "part", component.alias("first"))
