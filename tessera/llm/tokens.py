@@ -10,17 +10,20 @@ memories are emptied when full, so their size is bounded whatever the corpus.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 #: Entries of a memory before it is emptied.
-REMEMBER = 300_000
+REMEMBER = 600_000
 
 # The vocabulary's pattern over lower-cased text, written for the characters of PLAIN.
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: ASCII and Latin letters and signs that normalisation leaves as they are (superscripts and fractions aside).
 PLAIN = re.compile(r"[!-~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įĲ-ňŊ-ž]+")
+SIGNS = frozenset(".,;:!?)")
 #: Separators that str.split() takes for white space and the tokenizer does not.
 ODD_BLANKS = re.compile(r"[\x1c-\x1f]")
 
@@ -54,7 +57,7 @@ class Encoder:
         got = self.pieces.get(piece)
         if got is None:
             mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.bytes)
-            got = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+            got = _little([t.id for t in self.model.tokenize(mapped)])
             if len(self.pieces) >= REMEMBER:
                 self.pieces.clear()
             if len(piece) <= 40:
@@ -62,6 +65,11 @@ class Encoder:
         return got
 
     def _chunk(self, chunk: str) -> bytes:
+        last = chunk[-1]
+        if last in SIGNS and chunk.isascii() and chunk[:-1].isalpha():  # a word and a sign: two pieces
+            return self._piece(chunk[:-1].lower()) + self._piece(last)
+        if chunk.isascii() and chunk.isalpha():
+            return self._piece(chunk.lower())
         if PLAIN.fullmatch(chunk) and "<|" not in chunk:
             return b"".join(map(self._piece, PIECE.findall(chunk.lower())))
         return np.array(self.whole.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
@@ -75,6 +83,13 @@ class Encoder:
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
+def _little(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class _Memory(dict):
     def __init__(self, make):
         super().__init__()
