@@ -1,11 +1,17 @@
 """Mixing sources to target weights by entropy balancing (DataFrame functions only).
 
-The document rates r = exp(lambda . x) that lie closest (in relative entropy) to
-one copy each and meet the sources' token constraints come from the convex dual
-g(lambda) = sum_s S_s exp(lambda_s) - t_s lambda_s, S_s being the source's tokens.
-Its gradient and Hessian need only the sums S_s, which one distributed, map-side
-combined aggregate gives, so Newton's iterations run as a fold over the source
-rows, in the executors, without another pass over the documents.
+The document rates that lie closest (in relative entropy) to one copy each, are at most
+``most`` copies, and give a source its target of tokens are
+
+    r_i = min(most, exp(lambda_s * size_i)),    sum over the source's i of size_i * r_i = target_s,
+
+where lambda_s is the minimum of the convex dual  sum_i phi(lambda_s * size_i) - lambda_s * target_s,
+phi' being min(most, exp).  Newton's method solves all sources at once.  Gradient and Hessian are sums over documents,
+one distributed, map-side combined aggregate a step, over the counts of documents by source and
+size (rates depend on nothing else), so a hot source is at most its distinct sizes.  Steps are
+Newton's on the logarithm of the sum, which is nearly straight, and fall back to halving where they
+leave the bracket; the driver sees only whether a source is left to solve.  A source that gets less than it
+has thins its long documents most, one that gets more repeats those most, up to the cap.
 
 Rates become whole copies by systematic rounding in size order within bounded
 (source, bucket) groups, whose error telescopes to less than one document a
@@ -19,7 +25,7 @@ count as documents of their own; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import n_words, settle
@@ -52,21 +58,48 @@ def source_targets(sized: DataFrame, weights=(5.0, 2.0, 1.0), most: float = 3.0)
     return rows.withColumn("target", F.least("cap", F.col("w") * level)).select("source", "source_size", "n", "target")
 
 
-def tilt(targets: DataFrame, steps: int = 80) -> DataFrame:
-    """Adds rate = exp(lambda), lambda by damped Newton steps on the dual."""
-    newton = f"""
-        aggregate(sequence(1, {steps}), 0D, (l, i) ->
-            l - greatest(-2D, least(2D, (source_size * exp(l) - target) / (source_size * exp(l)))))
-    """
-    rate = F.when((F.col("source_size") > 0) & (F.col("target") > 0), F.exp(F.expr(newton))).otherwise(F.lit(0.0))
-    return targets.withColumn("rate", rate)
+def rate_of(most: float) -> Column:
+    """A document's rate, from its size and its source's tilt; 0 where there is nothing to take."""
+    return F.when((F.col("size") > 0) & (F.col("target") > 0), F.least(F.lit(float(most)), F.exp(F.col("tilt") * F.col("size")))).otherwise(F.lit(0.0))
+
+
+def tilt(sized: DataFrame, targets: DataFrame, most: float = 3.0, tolerance: float = 1e-10) -> DataFrame:
+    """Adds each source's tilt (the dual's lambda, null without words or target): as many Newton steps as the hardest source takes."""
+    sizes = settle(sized.filter("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).cast("double").alias("c")))
+    ratio = F.col("target") / F.col("source_size")
+    solvable = (F.col("source_size") > 0) & (F.col("target") > 0)
+    lean = sizes.groupBy("source").agg((F.sum(F.col("c") * F.col("size") * F.col("size")) / F.sum(F.col("c") * F.col("size"))).alias("weighted")).withColumnRenamed("source", "s")
+    state = targets.join(lean, targets["source"].eqNullSafe(lean["s"]), "left").drop("s").withColumns(
+        {
+            # sizes are 1 or more, so these enclose the answer
+            "low": F.when(ratio < 1, F.log(ratio)).otherwise(0.0),
+            "high": F.when(ratio < 1, 0.0).otherwise(F.log(F.lit(float(most)))),
+            "tilt": F.when(~solvable, None).when(ratio >= most, F.log(F.lit(float(most)))).otherwise(F.log(ratio) / F.col("weighted")),
+            "open": solvable & (ratio < most) & (ratio != 1),
+        }
+    )
+    state = settle(state.drop("weighted"))
+    while state.filter("open").limit(1).count():
+        now = state.filter("open").select(F.col("source").alias("s"), "tilt")
+        raw = F.exp(F.col("tilt") * F.col("size"))
+        each = sizes.join(now, sizes["source"].eqNullSafe(now["s"])).select("s", (F.col("c") * F.col("size")).alias("w"), "size", F.least(raw, F.lit(float(most))).alias("r"), (raw < most).alias("free"))
+        sums = each.groupBy("s").agg(F.sum(F.col("w") * F.col("r")).alias("got"), F.sum(F.when(F.col("free"), F.col("w") * F.col("size") * F.col("r")).otherwise(0.0)).alias("slope"))
+        met = state.join(sums, state["source"].eqNullSafe(sums["s"]), "left")
+        met = met.withColumns({"low": F.when(F.col("got") < F.col("target"), F.col("tilt")).otherwise(F.col("low")), "high": F.when(F.col("got") > F.col("target"), F.col("tilt")).otherwise(F.col("high"))})
+        step = F.col("tilt") - F.log(F.col("got") / F.col("target")) * F.col("got") / F.col("slope")
+        middle = (F.col("low") + F.col("high")) / 2
+        left = F.col("open") & (F.abs(F.col("got") - F.col("target")) > tolerance * F.col("target")) & (middle > F.col("low")) & (middle < F.col("high"))
+        after = F.when((F.col("slope") > 0) & (step > F.col("low")) & (step < F.col("high")), step).otherwise(middle)
+        met = met.withColumn("next", F.when(left, after).otherwise(F.col("tilt"))).withColumn("open", F.coalesce(left, F.lit(False)))
+        state = settle(met.withColumn("tilt", F.col("next")).select(state.columns))
+    return state.drop("low", "high", "open")
 
 
 def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), most: int = 3, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, rate, copies, taken."""
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
     small = settle(sized.withColumn("rid", F.monotonically_increasing_id()))
-    rates = settle(tilt(source_targets(small, weights, float(most))))
+    rates = tilt(small, settle(source_targets(small, weights, float(most))), float(most))
     counted = settle(_copies(small, rates, most))
     last = _corrections(counted, rates, most)
     return (
@@ -100,9 +133,11 @@ def _copies(rows: DataFrame, rates: DataFrame, most: int) -> DataFrame:
     )
     group = Window.partitionBy("source", "class", "bucket").orderBy("size", "h", "doc_id")
     u = F.pmod(F.xxhash64("source", "class", "bucket"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    k = F.row_number().over(group)
-    copies = F.floor(u + k * F.col("rate")) - F.floor(u + (k - 1) * F.col("rate"))
-    return joined.withColumn("copies", F.least(copies, F.lit(most)).cast("long")).drop("bucket", "n")
+    joined = joined.withColumn("rate", rate_of(most))
+    upto = F.sum("rate").over(group.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = F.coalesce(F.sum("rate").over(group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    copies = F.floor(u + upto) - F.floor(u + before)
+    return joined.withColumn("copies", F.least(copies, F.lit(most)).cast("long")).drop("bucket", "n", "tilt")
 
 
 def _corrections(counted: DataFrame, rates: DataFrame, most: int) -> DataFrame:
