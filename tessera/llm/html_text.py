@@ -1,11 +1,11 @@
 """Main-text extraction from HTML by two-pass block rules.
 
-A page is cut into blocks at block-level tags.  Pass one decides a block by where it
-stands (menus, forms, notices and the like are out; what an article or main element
-holds is in) and by its own counts: stop-word density, length and link density.  Short
-blocks stay undecided.  Pass two gives each undecided block the label of its nearest
-decided neighbours; where they differ, or there is none, it is left out, unless it is a
-heading followed by text that stays.
+A page is cut into blocks at block-level tags.  Pass one decides a block by its own counts: stop-word
+density, length and link density.  Where it stands is one more feature: menus, forms, notices and the
+like are out, on a page with an article so is what lies beside it, and inside the article a block needs less of the counts.
+Short blocks, headings and blocks full of links stay undecided.  Pass two gives each undecided block the label of its nearest
+decided neighbours, of those on its own side of the article's border; where they differ, or there is none, it is left out outside an article
+and kept inside one, and a heading goes with what follows it.
 
 The scanner is linear in the page (possessive patterns, no backtracking over the page),
 so very long pages cost in proportion.  One pass over the table in Arrow batches, no
@@ -159,48 +159,66 @@ def blocks(page: str) -> Iterator[tuple[str, int, str, bool, bool]]:
         yield got
 
 
+def stop_density(text: str) -> float:
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / max(1, len(words))
+
+
 def decide(text: str, links: int, tag: str, furniture: bool, main: bool, has_main: bool) -> bool | None:
     """Pass one: True (text), False (not) or None (undecided)."""
-    if furniture:
+    if furniture or (has_main and not main):
         return False
     n = len(text)
-    if links > LINKS * n and not main:
-        return False
     if main:
-        return True
-    if has_main:
+        if n < SHORT or links > LINKS * n or tag in HEADINGS:
+            return None
+        return True if n >= LONG or stop_density(text) >= STOP_LOW else None
+    if links > LINKS * n:
         return False
     if "\xa9" in text or links > 0.2 * n:
         return False if n < SHORT or links > 0.2 * n else None
     if n < SHORT or tag in HEADINGS:
         return None
-    words = text.lower().split()
-    density = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
+    density = stop_density(text)
     if density >= STOP_HIGH or (density >= STOP_LOW and n >= LONG):
         return True
     return True if n >= LONG and tag in ("p", "blockquote", "pre", "td", "dd") and not links else (None if density >= STOP_LOW or tag == "p" else False)
 
 
-def main_text(page: str) -> str:
-    found = list(blocks(page))
-    has_main = any(b[4] and not b[3] for b in found)
-    first = [decide(*b, has_main) for b in found]
-    after: list[bool | None] = [None] * len(found)
+def inherit(tags: list[str], first: list[bool | None], alone: bool) -> list[bool]:
+    """Pass two over blocks in page order: the undecided take their nearest decided neighbours' label; alone is that of blocks without any, and where neighbours differ."""
+    after: list[bool | None] = [None] * len(first)
     seen = None
-    for i in range(len(found) - 1, -1, -1):
+    for i in range(len(first) - 1, -1, -1):
         after[i] = seen
         seen = first[i] if first[i] is not None else seen
-    kept, before = [], None
-    for b, label, follows in zip(found, first, after, strict=True):
-        if label is None:
-            label = bool(follows) if b[2] in HEADINGS else (before if before == follows else bool(before if follows is None else follows if before is None else False))
-        else:
+    labels, before = [], None
+    for tag, label, follows in zip(tags, first, after, strict=True):
+        if label is not None:
             before = label
-        if label:
-            kept.append(b[0])
-    if not kept and found and not any(x is True for x in first):
-        kept = [b[0] for b, x in zip(found, first, strict=True) if x is None]  # a page of short blocks only
-    return " ".join(kept)
+        elif tag in HEADINGS:
+            label = alone if follows is None else follows
+        elif before is None or follows is None:
+            known = follows if before is None else before
+            label = alone if known is None else known
+        else:
+            label = before if before == follows else alone
+        labels.append(label)
+    return labels
+
+
+def main_text(page: str) -> str:
+    found = list(blocks(page))
+    has_main = any(b[4] and not b[3] for b in found)
+    first = [decide(*b, has_main) for b in found]
+    labels = [False] * len(found)
+    for inside in (True, False):
+        own = [i for i, b in enumerate(found) if inside == (b[4] and not b[3])]
+        for i, label in zip(own, inherit([found[i][2] for i in own], [first[i] for i in own], inside), strict=True):
+            labels[i] = label
+    if found and not any(labels) and not any(x is True for x in first):
+        labels = [x is None for x in first]  # a page of short blocks only
+    return " ".join(b[0] for b, label in zip(found, labels, strict=True) if label)
 
 
 def extract(pages: DataFrame, key: list[str], html_col: str = "html") -> DataFrame:
