@@ -1,11 +1,12 @@
 """Exact deduplication with a heavy-hitter split (DataFrame functions only).
 
 A frequent-items sketch in the Misra-Gries family (``approx_top_k``) names the
-digests that may be very frequent.  Their winners are found by an aggregate over
-those digests alone, which combines map-side and yields at most ``k`` rows; these
-are broadcast (at most ``k`` rows of about 60 bytes, whatever the input) and the
+digests that may be more frequent than its error bound, rows / (0.75 * max_items), of which there are at most
+0.75 * max_items.  Their winners are found by an aggregate over
+those digests alone, which combines map-side; these
+are broadcast (some 6,000 rows of about 60 bytes, whatever the input) and the
 losing copies go map-side.  All other digests take an ordinary shuffle, where no
-group can be larger than the sketch's error bound, rows / (0.75 * max_items).
+group can be larger than that bound (unless a smaller ``k`` is asked for).
 
 Defined cases: null text counts as empty; texts that differ only in A-Z/a-z are
 equal; the largest doc_id stays, a null doc_id counting as the smallest; of rows
@@ -25,10 +26,11 @@ def digest(text):
     return F.unhex(F.sha2(ascii_lower(text), 256))
 
 
-def frequent_digests(digests: DataFrame, k: int = 512, max_items: int = 8192) -> list[bytes]:
-    """Digests that may exceed rows / max_items; at most k (a bounded list)."""
-    row = digests.agg(F.expr(f"approx_top_k(hex(h), {k}, {max_items})").alias("top")).first()
-    return [bytes.fromhex(x["item"]) for x in row["top"] or [] if x["count"] > 1]
+def frequent_digests(digests: DataFrame, k: int | None = None, max_items: int = 8192) -> list[bytes]:
+    """All digests that may be more frequent than rows / (0.75 * max_items), or the k most frequent: a bounded list."""
+    tracked = 3 * max_items // 4
+    row = digests.agg(F.expr(f"approx_top_k(hex(h), {k or tracked}, {max_items})").alias("top"), F.count(F.lit(1)).alias("n")).first()
+    return [bytes.fromhex(x["item"]) for x in row["top"] or [] if x["count"] > max(1, row["n"] // tracked)]
 
 
 def verified_winners(digests: DataFrame, frequent: list[bytes]) -> DataFrame:
@@ -42,7 +44,7 @@ def verified_winners(digests: DataFrame, frequent: list[bytes]) -> DataFrame:
     )
 
 
-def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 512, max_items: int = 8192) -> DataFrame:
+def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, max_items: int = 8192) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     digests = settle(docs.select(F.col(id_col).alias("id"), digest(F.col(text_col)).alias("h")).withColumn("rid", F.monotonically_increasing_id()))
     frequent = frequent_digests(digests, k, max_items)
@@ -64,7 +66,7 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 512, max_items: int = 8192) -> DataFrame:
+def dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, max_items: int = 8192) -> DataFrame:
     """The documents that stay, whole rows with their own columns.
 
     The digests are settled first (40 bytes a row), so the frequent ones are known
