@@ -5,10 +5,11 @@ opinion, -1): the strict shape of the kind, its check rule (Luhn, octets, digit
 a gazetteer (top-level domains, calling codes, given names, street words ...), the words
 around it, and how it is delimited.  Their vote patterns are counted over all documents
 in one map-side combined aggregate, whose size depends on the number of labelers and
-kinds and not on the corpus.  Expectation-maximisation over the counts estimates each
-labeler's reliability and each kind's rate; its posteriors train the final span
-classifier, a logistic regression on votes, kind and shape, by Newton's method.  A second
-pass keeps all base spans and those other candidates that the classifier accepts.
+kinds and not on the corpus.  Expectation-maximisation over the counts estimates how often each
+labeler casts which vote on what is personal data and what is not (its reliability), and each kind's rate; its posteriors train the final span
+classifier, a logistic regression on votes, kind and shape, by Newton's method.  Base spans take part like
+all others, though a second
+pass keeps all of them, beside those other candidates that the classifier accepts.
 
 All patterns are linear in the text (possessive, or anchored at a sign), so whole texts
 of any length are read.  Nothing is shuffled but the counts.
@@ -43,16 +44,27 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 # What the other candidates and the labelers look for.
 NUMBER = re.compile(r"(?<![\w+.-])\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,4}){1,4}(?![\w-]|\.[0-9])")
-SPELLED = re.compile(r"(?<![\w.-])[A-Za-z0-9][A-Za-z0-9._-]{0,60}+ ?[\[(]?(?:at|@)[\])]? ?[A-Za-z0-9-]{1,60}+(?: ?[\[(](?:dot|\.)[\])] ?[A-Za-z]{2,12}| dot [A-Za-z]{2,12})", re.I)
+SPELLED = re.compile(r"(?<![\w.-])[A-Za-z0-9][A-Za-z0-9._-]*+ ?[\[(]?(?:at|@)[\])]? ?[A-Za-z0-9-]++(?: ?[\[(](?:dot|\.)[\])] ?[A-Za-z]{2,12}| dot [A-Za-z]{2,12})", re.I)
 #: Every spelled address has one of these.
 DOTTED = re.compile(r"[\[(](?:dot|\.)[\])]| dot ", re.I)
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[0-9a-fA-F]{32,}+|AKIA[0-9A-Z]{16}|(?:sk|ghp|xox[bp])[_-][A-Za-z0-9_-]{16,}+)(?![A-Za-z0-9+/_-])")
-PERSON = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra)\.? (?:[A-Z][a-z]{1,20})(?: [A-Z][a-z]{1,20}){0,2}")
-ADDRESS = re.compile(r"(?<![\w.])[0-9]{1,5} (?:[A-Z][a-z]{1,20} ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct)\b")
-TITLED = re.compile(r"\b(?:M[rs]s?|Dr|Prof|Herr|Frau|Mme|Sra)\.? [A-Z]")
+#: A capitalised word of Latin letters.
+NAME = "[A-ZÀ-ÖØ-ÞŒŠŽ][a-zà-öø-ÿœšž]++"
+TITLES = "(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Herr|Frau|Mme|Mlle|Sr|Sra|Srta)"
 TLDS = frozenset("com org net edu gov io co de fr es uk eu info biz us ca ch at it nl".split())
-GIVEN = frozenset("james mary john maria robert anna michael david peter paul thomas laura sarah emma julia marie jean pierre jose juan carlos ana hans karl klaus sabine".split())
+GIVEN = frozenset(
+    """adam agnes alan albert alexander alice alicia amanda amy ana andrea andreas andrew angela anna anne antoine antonio barbara benjamin bernard birgit brian camille carlos carmen
+    caroline catherine charles charlotte chloé christian christine christopher claire clara claudia cristina daniel david deborah dennis diana diego dieter dominique donald donna edward
+    elena elisabeth elizabeth émile emily emma eric ernst eva fernando francisco françois frank franz gabriel george gerhard hannah hans heike heinz helen helmut henri henry inés ingrid
+    isabel jack jacques james jan jason javier jean jennifer jessica joachim johann john jorge josé joseph juan judith julia julien jürgen karen karin karl katherine kevin klaus laura
+    lea léa linda lisa louis lucas lucía luis luisa manfred manuel marco margaret maria maría marie mark martha martin mary matthew michael michel miguel monika nancy nicolas nicole
+    olivier pablo patricia patrick paul pedro peter philippe pierre rachel ralf raúl rebecca renate richard robert rosa ruth sabine samuel sandra sarah sophie stefan stephen susan susanne
+    sylvie teresa thomas uwe víctor werner william wolfgang""".split()
+)
+TITLE = re.compile(rf"{TITLES}\b")
+PERSON = re.compile(rf"(?<!\w)(?:{TITLES}\.? {NAME}(?:[ -]{NAME})*+|(?:{'|'.join(sorted(x.title() for x in GIVEN))})(?:[ -]{NAME})++)(?!\w)")
+ADDRESS = re.compile(rf"(?<![\w.])[0-9]{{1,5}} (?:{NAME} )+?(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct)\b")
 CUES = {
     "email": "mail e-mail email contact write correo",
     "ip": "ip host server address login client",
@@ -66,6 +78,8 @@ CUES = {
 }
 CUES = {k: frozenset(v.split()) for k, v in CUES.items()}
 AGAINST = frozenset("version isbn issn page pages fig figure section chapter license doi eq table vol no".split())
+#: Signs before and after a span that stands by itself (none: the text's ends).
+OPENS, CLOSES = frozenset(["", *" \t\n\r\"'(<[:=,;"]), frozenset(["", *" \t\n\r\"')>].,:;!?"])
 WORD = re.compile(r"[^\W\d_]+(?:_[^\W\d_]+)?")
 
 
@@ -113,14 +127,13 @@ def other_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
                 found.append((m.start(), 4, m.end()))
             elif 9 <= len(d) <= 11:
                 found.append((m.start(), 3, m.end()))
-        found += [(m.start(), 2, m.end()) for m in CARD.finditer(text) if 13 <= len(digits_of(m[0])) <= 19 and m.end() - m.start() < 40]
+        found += [(m.start(), 2, m.end()) for m in CARD.finditer(text) if m.end() - m.start() < 40 and 13 <= len(digits_of(m[0])) <= 19]
         found += [(m.start(), 5, m.end()) for m in IBAN.finditer(text)]
         found += [(m.start(), 6, m.end()) for m in SECRET.finditer(text)]
         found += [(m.start(), 8, m.end()) for m in ADDRESS.finditer(text)]
     if DOTTED.search(text):
         found += [(m.start(), 0, m.end()) for m in SPELLED.finditer(text)]
-    if TITLED.search(text):
-        found += [(m.start(), 7, m.end()) for m in PERSON.finditer(text)]
+    found += [(m.start(), 7, m.end()) for m in PERSON.finditer(text)]
     kept, busy = [], sorted((s, e) for s, _, e in base)
     last = b = 0
     for s, k, e in sorted(found):
@@ -136,7 +149,7 @@ def votes(text: str, start: int, kind: int, end: int, base: bool) -> tuple[int,
     """The labelers' votes, in order of LABELERS, and a coarse shape (length class, digit share)."""
     span, name, d = text[start:end], KINDS[kind], digits_of(text[start:end])
     groups = [x for x in re.split("[ .()-]+", span) if x]
-    shape = 1 if base or name in ("ssn", "iban", "secret") else 0
+    shape = 1 if base or name in ("ssn", "iban", "secret", "address", "person") else 0
     if name == "card" and not base:
         shape = 0 if len(d) in (13, 15, 16) else -1
     elif name == "phone" and not base:
@@ -154,12 +167,14 @@ def votes(text: str, start: int, kind: int, end: int, base: bool) -> tuple[int,
         check = 1 if len(set(span)) >= 8 else -1
     else:
         check = 1 if base else 0
+    if name == "person" and TITLE.match(span):
+        check = 1
     words = [w.lower() for w in WORD.findall(span)]
     gazetteer = 0
     if name == "email":
         gazetteer = 1 if words and words[-1] in TLDS else -1
     elif name == "person":
-        gazetteer = 1 if any(w in GIVEN for w in words[1:]) else 0
+        gazetteer = 1 if any(w in GIVEN for w in words) else 0
     elif name == "phone":
         gazetteer = 1 if base else 0
     elif name == "card":
@@ -168,7 +183,8 @@ def votes(text: str, start: int, kind: int, end: int, base: bool) -> tuple[int,
         gazetteer = 1
     around = {w.lower() for w in WORD.findall(text[max(0, start - 40) : start]) + WORD.findall(text[end : end + 20])}
     context = 1 if around & CUES[name] else -1 if around & AGAINST else 0
-    edges = 0 if (start == 0 or not text[start - 1].isalnum()) and (end == len(text) or not text[end].isalnum()) else -1
+    left, right = text[start - 1 : start], text[end : end + 1]
+    edges = -1 if left.isalnum() or right.isalnum() else 1 if left in OPENS and right in CLOSES else 0
     return shape, check, gazetteer, context, edges, min((end - start) // 8, 5), len(d) * 4 // max(1, end - start)
 
 
@@ -197,17 +213,19 @@ def estimate(rows: np.ndarray, n: np.ndarray, rounds: int = 60) -> SpanModel:
     n = np.asarray(n, np.float64)
     v, kind = rows[:, 1:6], rows[:, 0]
     voted = v != 0
-    sure = (kind < len(BASE)) & (v[:, 0] > 0)  # base spans, which stay in any case
-    q = np.where(sure, 1.0, 1 / (1 + np.exp(-1.5 * v @ np.array([1, 2, 1, 1, 1]))))
+    q = 1 / (1 + np.exp(-1.5 * v @ np.array([1, 2, 1, 1, 1])))
     right = np.full(len(LABELERS), 0.8)
     rate = np.full(len(KINDS), 0.5)
+    cast = np.eye(3)[v + 1]  # (pattern, labeler, vote)
+    prior = np.array([[3.0, 2.0, 1.0], [1.0, 2.0, 3.0]])  # of a vote of -1, 0, 1 for what is none and what is one
     for _ in range(rounds if len(rows) else 0):
+        rate = (np.bincount(kind, n * q, len(KINDS)) + 5) / (np.bincount(kind, n, len(KINDS)) + 10)
+        counts = np.einsum("yp,plv->lyv", np.stack([n * (1 - q), n * q]), cast) + prior
+        chance = counts / counts.sum(2, keepdims=True)  # of each vote, by labeler, for what is none and what is one
+        odds = np.log(rate[kind] / (1 - rate[kind])) + np.einsum("plv,lv->p", cast, np.log(chance[:, 1] / chance[:, 0]))
+        q = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         agree = np.where(v > 0, q[:, None], 1 - q[:, None]) * voted
-        right = np.clip(((n @ agree) + 8) / ((n @ voted) + 10), 0.5, 0.99)  # no labeler is taken for worse than chance
-        others = n * ~sure
-        rate = (np.bincount(kind, others * q, len(KINDS)) + 5) / (np.bincount(kind, others, len(KINDS)) + 10)
-        odds = np.log(rate[kind] / (1 - rate[kind])) + v @ np.log(right / (1 - right))
-        q = np.where(sure, 1.0, 1 / (1 + np.exp(-np.clip(odds, -30, 30))))
+        right = ((n @ agree) + 8) / ((n @ voted) + 10)
     x = design(rows)
     w = np.zeros(x.shape[1])
     scale = n / max(n.sum(), 1) * 1000 if len(rows) else n
@@ -257,7 +275,7 @@ def find(docs: DataFrame, model: SpanModel | None = None, id_col: str = "doc_id"
                     out.append([])
                     continue
                 rows = np.array([(k, *votes(text, s, k, e, b)) for s, k, e, b in found])
-                p = np.where(rows[:, 2] < 0, 0.0, model.probability(rows))  # a failed check rule is a veto
+                p = model.probability(rows)
                 kept = sorted((s, k, e, b, float(x)) for (s, k, e, b), x in zip(found, p, strict=True) if b or x >= threshold)
                 out.append([{"kind": KINDS[k], "start": s, "end": e, "base": b, "probability": x} for s, k, e, b, x in kept])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(span))], ["doc_id", "spans"])
@@ -279,5 +297,6 @@ def digest(found: DataFrame) -> DataFrame:
     """The contract's columns."""
     base = F.filter("spans", lambda s: s["base"])
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    count = lambda k: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *map(count, BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    count = lambda k: F.size(F.filter("spans", lambda s: (s["kind"] == k) & (s["base"] if k in BASE else F.lit(True)))).cast("long").alias(f"n_{k}")
+    number = F.size("spans").cast("long").alias("n_spans")
+    return found.select("doc_id", *map(count, KINDS), number, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
