@@ -369,3 +369,57 @@ def test_linking_sets_share_the_cells_they_need():
             assert 1 <= need[0] <= both and 1 <= need[1] <= both and need[2] == 0
     assert jaccard.enough(np.array([1, 3, 3, 9])).tolist() == [True, True, True, False] and jaccard.enough(np.array([2, 3, 3, 9, 9])).tolist() == [True, True, True, False, False]
     assert jaccard.enough(np.array([2, 5])).tolist() == [False, False]
+
+
+def test_rates_equal_brute_force(docs):
+    rows = mixing.mix(docs).collect()
+    for s in {r["source"] for r in rows}:
+        own = [r for r in rows if r["source"] == s]
+        size, target = np.array([r["size"] for r in own], float), own[0]["target"]
+        low, high = -50.0, 1.1
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if (size * np.minimum(3, np.exp(middle * size))).sum() < target else (low, middle)
+        assert np.allclose([r["rate"] for r in own], np.where(size > 0, np.minimum(3, np.exp(low * size)), 0), atol=1e-6)
+        assert abs(sum(r["taken"] for r in own) - target) <= max(0.01 * target, size.max())
+
+
+def test_packing_follows_from_the_rows(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = docs.unionByName(docs.limit(20))
+    seen = {str(collected(packing.pack(docs.repartition(n)))) for n in (1, 7, 64)}
+    assert len(seen) == 1
+    rows = packing.pack(docs.repartition(64)).collect()
+    assert sum(r["start"] == 0 for r in rows) == docs.count()  # repeated rows are packed twice
+    assert len({r["sequence_id"] for r in rows}) <= sum(r["length"] for r in rows) / 4096 * 1.02 + 13
+
+
+def test_families_of_near_copies_keep_their_links(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for family in range(3):
+        base = [rng.choice(words) for _ in range(60)]
+        for i in range(120):  # about as many pairs link as do not
+            text = list(base)
+            for _ in range(rng.randint(0, 2)):
+                text[rng.randrange(60)] = rng.choice(words)
+            rows.append((family * 1000 + i, " ".join(text)))
+    got = jaccard.link(spark.createDataFrame(rows, "doc_id long, text string"), group_bytes=20_000)
+    assert sorted(map(tuple, got.collect())) == sorted(brute.components(rows))
+
+
+def test_added_spans_precision_and_recall(spark):
+    rng = random.Random(5)
+    token = lambda: hashlib.sha1(str(rng.random()).encode()).hexdigest()
+    good = [lambda: f"name: Mr. Émile Zölä{rng.choice('abc')}", lambda: f"contact {rng.choice(['Anna', 'Paul', 'Klaus'])} Schmidt", lambda: f"token = {token()}", lambda: f"call 555 010 {rng.randint(1000, 9999)}"]
+    bad = [lambda: f"card {rng.randint(10**15, 10**16 - 1)}", lambda: f"see page {rng.randint(100, 999)}", lambda: "the quick Brown fox", lambda: f"isbn {rng.randint(10**12, 10**13 - 1)}"]
+    rows, want = [], {}
+    for i in range(400):
+        planted = i % 2 == 0
+        text = rng.choice(good if planted else bad)()
+        rows.append((i, f"Some words before {text} and after."))
+        want[i] = planted
+    got = {r["doc_id"]: any(not s["base"] for s in r["spans"]) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hits = sum(got[i] and want[i] for i in want)
+    assert hits / sum(want.values()) >= 0.95 and hits / max(1, sum(got.values())) >= 0.95

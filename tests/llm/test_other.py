@@ -163,3 +163,71 @@ def test_pipeline_stages(spark, sf_dir):
     assert {r["doc_id"] for r in pieces} == set(seen[-1])
     run = p.run(spark, sf_dir)
     assert sorted(r["length"] for r in run.collect()) == sorted(r["length"] for r in pieces)
+
+
+def test_large_scores_are_exact(spark):
+    for most in (1e6, 1e12, 3.4e38, 1.7e308):
+        rng = np.random.default_rng(3)
+        x = rng.normal(size=(120, 6))
+        x[rng.random(120) < 0.3] *= most / 4
+        x[50], x[7], x[9] = x[51], most, -most
+        x = np.clip(x, -most, most)
+        df = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("v", "band", "norm2", "part", "qb", "floor", "big")})
+        got = sorted(map(tuple, topk.search(df, F.col("vec_id") % 50 == 0, block_rows=64).collect()))
+        v = [[topk.whole(c, 256) for c in r] for r in x.tolist()]
+        want = []
+        for q in range(0, 120, 50):
+            best = sorted((-sum(a * b for a, b in zip(v[q], v[j], strict=True)), j) for j in range(120) if j != q)[:5]
+            want += [(q, n + 1, j, min(max(-s, -(2**63)), 2**63 - 1)) for n, (s, j) in enumerate(best)]
+        assert got == want
+
+
+def folded(log):
+    """What a reader of the log would do, event by event."""
+    by_turn = {}
+    for e in log:
+        by_turn.setdefault(e[3], []).append(e)
+    messages = []
+    for turn, events in sorted(by_turn.items()):
+        own = []
+        for _, seq, event, _, role, text in sorted(events, key=lambda e: (e[1], e[2] != "message", e[2], e[4] or "", e[5] or "")):
+            if event == "message":
+                own.append([turn, seq, role or "", text or "", None])
+            elif own:
+                m = own[-1]
+                m[3] = m[3] + (text or "") if event == "delta" else (text or "") if event == "edit" else ""
+                m[4] = seq if event == "regenerate" else m[4]
+        messages += own
+    last, kept = None, []
+    for _, opened, role, text, again in messages:
+        if last is None or opened >= last:
+            kept.append((role, text))
+            last = again if last is None or (again or last) > last else last
+    return kept
+
+
+def test_random_logs_fold_as_a_reader_would(spark):
+    import random
+
+    rng, logs = random.Random(4), {}
+    for c in range(150):
+        n = rng.randint(1, 25)
+        logs[c] = [(c, rng.randint(0, 20) if c % 3 == 0 else s, rng.choice(["message", "message", "delta", "delta", "edit", "regenerate"]), rng.randint(0, 4), rng.choice(["user", "assistant", None]), rng.choice(["x", "<|im_end|>", "", None, "yy"])) for s in range(n)]
+    rows = [e for log in logs.values() for e in log]
+    got = {r["conv_id"]: [tuple(t) for t in r["ts"]] for r in chat.format_chats(spark.createDataFrame(rows, EVENTS)).select("conv_id", chat.read_back(F.col("formatted")).alias("ts")).collect()}
+    assert got == {c: want for c, log in logs.items() if (want := folded(log))}
+    void = [(1, 1, "message", 0, "user", "q"), (1, 2, "message", 1, "assistant", "a"), (1, 3, "message", 2, "user", "gone"), (1, 4, "regenerate", 1, None, None), (1, 6, "edit", 2, None, "back")]
+    assert chat.format_chats(spark.createDataFrame(void, EVENTS)).first()["formatted"].count("<|im_start|>") == 2
+
+
+def test_articles_are_decided_by_rules(spark, sf_dir):
+    undecided = decided = 0
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        found = list(html_text.blocks(r["html"] or ""))
+        has_main = any(b[4] and not b[3] for b in found)
+        first = [html_text.decide(*b, has_main) for b in found]
+        undecided += sum(x is None for x in first)
+        decided += sum(x is True for x in first)
+        # what an article holds beside furniture stays, all else goes
+        assert not has_main or html_text.main_text(r["html"]) == " ".join(b[0] for b in found if b[4] and not b[3])
+    assert undecided > 0 and decided > 0
