@@ -16,6 +16,24 @@ def ranking_scores(ranking: DataFrame, gold: DataFrame) -> DataFrame:
     return rows.select("qid", "rank", F.coalesce(1.0 / F.col("rank"), F.lit(0.0)).alias("rr"), hit(1), hit(5), hit(10))
 
 
+def gold_ranks(scores: DataFrame, gold: DataFrame, score: str) -> DataFrame:
+    """gold(qid, did) -> qid, rank (from 1) of the gold document among a query's positive scores, ties to the smaller did; null if it has none.
+
+    Documents that beat the gold one are counted, so no query's ranking is sorted.
+    """
+    own = gold.join(scores.filter(F.col(score) > 0), ["qid", "did"]).select("qid", F.col("did").alias("gold"), F.col(score).alias("least"))
+    better = scores.join(own, "qid").filter((F.col(score) > F.col("least")) | ((F.col(score) == F.col("least")) & (F.col("did") < F.col("gold"))))
+    ranks = better.groupBy("qid").agg(F.count(F.lit(1)).alias("beaten"))
+    ranks = own.join(ranks, "qid", "left").select("qid", (F.coalesce("beaten", F.lit(0)) + 1).alias("rank"))
+    return gold.select("qid").join(ranks, "qid", "left")
+
+
+def rank_scores(ranks: DataFrame) -> DataFrame:
+    """qid, rank -> with rr, hit1, hit5, hit10 (no rank: all 0)."""
+    hit = lambda k: F.coalesce((F.col("rank") <= k).cast("int"), F.lit(0)).alias(f"hit{k}")
+    return ranks.select("qid", "rank", F.coalesce(1.0 / F.col("rank"), F.lit(0.0)).alias("rr"), hit(1), hit(5), hit(10))
+
+
 def ranking_summary(scores: DataFrame) -> DataFrame:
     return scores.agg(F.count(F.lit(1)).alias("n"), F.avg("rr").alias("mrr"), *[F.avg(f"hit{k}").alias(f"recall{k}") for k in (1, 5, 10)])
 

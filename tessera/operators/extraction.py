@@ -24,9 +24,19 @@ ALIAS_RULES = [
     rf"\b(?:the\s+)?(?P<a>{CONCEPT}),\s+or\s+(?P<b>{ACRONYM})\b\s*[,)]",
     rf"\b(?:the\s+)?(?P<a>{CONCEPT})\s*\(\s*(?P<b>{ACRONYM})\s*\)",
 ]
-TIES = [r"(?:is|are)\s+built\s+(?:on|upon)", r"requires?", r"uses?", r"relies\s+on", r"is\s+based\s+on", r"generalizes?", r"is\s+a\s+generali[sz]ation\s+of", r"extends?"]
-DEPENDENCY_RULES = [rf"\b(?:the\s+)?(?P<a>{CONCEPT})\s+{tie}\s+(?:the\s+|a\s+)?(?P<b>{CONCEPT})\b" for tie in TIES]
-DEPENDENCY_RULES.append(rf"to\s+understand\s+(?:the\s+)?(?P<a>{CONCEPT})\s*,\s+(?:we|you)?\s*(?:need|recall|review)\s+(?:the\s+|a\s+)?(?P<b>{CONCEPT})\b")
+# The phrases by which one concept (a) is said to rest on another (b); C stands for a concept.
+DEPENDENCY_RULES = [
+    r"\b(?:the\s+)?(?P<a>C)\s+(?:is|are)\s+built\s+(?:on|upon)\s+(?:the\s+)?(?P<b>C)\b",
+    r"\b(?:the\s+)?(?P<a>C)\s+requires?\s+(?:the\s+|a\s+)?(?P<b>C)\b",
+    r"\b(?:the\s+)?(?P<a>C)\s+uses?\s+(?:the\s+|a\s+)?(?P<b>C)\b",
+    r"\b(?:the\s+)?(?P<a>C)\s+relies\s+on\s+(?:the\s+|a\s+)?(?P<b>C)\b",
+    r"\b(?:the\s+)?(?P<a>C)\s+is\s+based\s+on\s+(?:the\s+|a\s+)?(?P<b>C)\b",
+    r"\b(?:the\s+)?(?P<a>C)\s+generalizes?\s+(?:the\s+|a\s+)?(?P<b>C)\b",
+    r"\b(?:the\s+)?(?P<a>C)\s+is\s+a\s+generali[sz]ation\s+of\s+(?:the\s+|a\s+)?(?P<b>C)\b",
+    r"\b(?:the\s+)?(?P<a>C)\s+extends?\s+(?:the\s+|a\s+)?(?P<b>C)\b",
+    r"to\s+understand\s+(?:the\s+)?(?P<a>C)\s*,\s+(?:we|you)?\s*(?:need|recall|review)\s+(?:the\s+|a\s+)?(?P<b>C)\b",
+]
+DEPENDENCY_RULES = [r.replace("<a>C", "<a>" + CONCEPT).replace("<b>C", "<b>" + CONCEPT) for r in DEPENDENCY_RULES]
 CITATION = r"\b(?P<a>Theorem|Lemma|Proposition|Corollary|Definition|Example|Exercise|Equation|Eq\.|Section|Chapter|Figure|Fig\.|Table|Appendix|Remark|Claim)\s+(?P<b>\d+(?:\.\d+)*[a-zA-Z]?)"
 # Words that are no concept, or start none.
 NOISE = (
@@ -79,7 +89,7 @@ def aliases(docs: DataFrame, id_col: str = "nid", text_col: str = "body_text", m
 def dependencies(docs: DataFrame, known: DataFrame, id_col: str = "nid", text_col: str = "body_text", min_count: int = 1) -> DataFrame:
     """head, prereq, n: both cut to the longest known term inside. known(term), in lower case.
 
-    Phrases have four words at most, so their word n-grams are an equi-join with the terms.
+    A phrase's word n-grams, up to the longest term's number of words, are an equi-join with the terms.
     """
     hits = scan(docs, DEPENDENCY_RULES, id_col, text_col).select("id", "rule", "start", T.phrase_key(F.col("a")).alias("a"), T.phrase_key(F.col("b")).alias("b"))
     hits = hits.filter(is_dependency_phrase(F.col("a")) & is_dependency_phrase(F.col("b")))
@@ -88,7 +98,12 @@ def dependencies(docs: DataFrame, known: DataFrame, id_col: str = "nid", text_co
     return hits.filter("head <> prereq").groupBy("head", "prereq").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count)
 
 
-def word_grams(phrase: Column, most: int = 4) -> Column:
+def most_words(terms: DataFrame, term: str = "term") -> int:
+    """Words of the longest term."""
+    return terms.agg(F.max(F.size(F.split(term, " ")))).first()[0] or 1
+
+
+def word_grams(phrase: Column, most: int) -> Column:
     words = F.split(phrase, " ")
     n = F.size(words)
     grams = F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), n - i + 1)), lambda k: F.array_join(F.slice(words, i, k), " ")))
@@ -97,7 +112,7 @@ def word_grams(phrase: Column, most: int = 4) -> Column:
 
 def best_known(rows: DataFrame, phrase: str, known: DataFrame, name: str) -> DataFrame:
     """Adds the longest known term in a phrase (ties alphabetical); rows without one go."""
-    phrases = rows.select(phrase).distinct().select(phrase, F.explode(word_grams(F.col(phrase))).alias("term"))
+    phrases = rows.select(phrase).distinct().select(phrase, F.explode(word_grams(F.col(phrase), most_words(known))).alias("term"))
     found = phrases.join(known.select("term").distinct(), "term").groupBy(phrase).agg(F.min(F.struct((-F.length("term")).alias("n"), "term"))["term"].alias(name))
     return rows.join(found, phrase)
 
@@ -117,7 +132,7 @@ def definition_term(body: Column) -> Column:
 def expand_queries(queries: DataFrame, alias_map: DataFrame) -> DataFrame:
     """queries(qid, query) with the heads of aliases they hold (and the aliases of heads) appended, those already there left out."""
     both = alias_map.select(F.col("alias").alias("term"), F.col("head").alias("more")).unionByName(alias_map.select(F.col("head").alias("term"), F.col("alias").alias("more")))
-    grams = queries.select("qid", F.lower(T.squashed(F.col("query"))).alias("q")).select("qid", "q", F.explode(word_grams(F.regexp_replace("q", r"[^a-z0-9\- ]", ""))).alias("term"))
+    grams = queries.select("qid", F.lower(T.squashed(F.col("query"))).alias("q")).select("qid", "q", F.explode(word_grams(F.regexp_replace("q", r"[^a-z0-9\- ]", ""), most_words(both))).alias("term"))
     extra = grams.join(both, "term").filter(~F.contains("q", F.col("more"))).groupBy("qid").agg(F.array_join(F.array_sort(F.collect_set("more")), " ").alias("extra"))
     return queries.join(extra, "qid", "left").select("qid", F.concat_ws(" ", "query", "extra").alias("query"))
 
@@ -136,33 +151,68 @@ GREEK = frozenset(
         "Gamma Delta Theta Lambda Xi Pi Sigma Upsilon Phi Psi Omega"
     ).split()
 )
-NAME = re.compile(r"\\[A-Za-z]+|[A-Za-z][A-Za-z0-9]*|[α-ωΑ-Ω]")
-BINDER = re.compile(r"\\(?:sum|prod|i{0,3}int|oint|lim|max|min|sup|inf|forall|exists|argmax|argmin)_\{([^{}]*)\}")
+# Commands whose subscript binds variables, and signs that end the bound ones.
+BINDERS = frozenset("sum prod int iint iiint oint lim max min sup inf forall exists argmax argmin".split())
+RELATIONS = frozenset("=<>≤≥∈")
+#: What a formula is read as: commands, words, Greek letters and single signs.
+PART = re.compile(r"\\(?P<command>[A-Za-z]+)|(?P<word>[A-Za-z][A-Za-z0-9]*)|(?P<letter>[α-ωΑ-Ω])|(?P<sign>[^\s])")
+#: One letter; two to four capitals; two or three small letters.
+SYMBOL = re.compile("[^\\W\\d_]|[A-Z]{2,4}|[a-z]{2,3}")
 
 
 def variable(raw: str) -> str:
     """A variable's name without backslash, indices and brackets; empty if it is none."""
-    name = re.split("[_^]", raw.strip().removeprefix("\\"), maxsplit=1)[0].strip("{}()[]")
-    if not name or name.isdigit() or name.lower() in NOT_VARIABLES:
+    core = re.search(r"[^\s\\{}()\[\]_^]+|[_^]", raw)
+    name = core[0] if core else ""
+    if name.lower() in NOT_VARIABLES:
         return ""
-    letters = name.isalpha() and (len(name) == 1 or (len(name) <= 4 and name.isupper()) or (len(name) <= 3 and name.islower()))
-    return name if letters or name in GREEK else ""
-
-
-def _names(text: str) -> list[str]:
-    return [v for v in map(variable, NAME.findall(text)) if v]
+    return name if name in GREEK or SYMBOL.fullmatch(name) else ""
+
+
+class FormulaReader:
+    """Reads a formula once, part by part, and notes the roles of its variables."""
+
+    def __init__(self, latex: str):
+        self.parts = [(m.lastgroup, m[m.lastgroup], m.end()) for m in PART.finditer(latex)]
+        self.used = {v for kind, text, _ in self.parts if kind != "sign" and (v := variable(text))}
+        self.bound = set(self._bound())
+        self.defined = self._defined()
+
+    def _sign(self, i: int, sign: str) -> bool:
+        return i < len(self.parts) and self.parts[i][:2] == ("sign", sign)
+
+    def _bound(self) -> Iterator[str]:
+        for i, (kind, text, _) in enumerate(self.parts):
+            if kind == "command" and text in BINDERS and self._sign(i + 1, "_") and self._sign(i + 2, "{"):
+                inside = self.parts[i + 3 :]
+                end = next((k for k, p in enumerate(inside) if p[0] == "sign" and p[1] in "{}"), None)
+                if end is not None and inside[end][1] == "}":
+                    yield from self._subscript(inside[:end])
+            elif kind == "word" and text[0] == "d" and len(text) == 2 and text[1].isalpha():  # dy
+                yield variable(text[1])
+            elif kind == "word" and text == "d" and i + 1 < len(self.parts) and self.parts[i + 1][0] == "word" and len(self.parts[i + 1][1]) == 1:  # d y
+                yield variable(self.parts[i + 1][1])
+
+    @staticmethod
+    def _subscript(parts: list) -> Iterator[str]:
+        for kind, text, _ in parts:
+            if kind == "sign" and text in RELATIONS:
+                return
+            if kind != "sign" and (v := variable(text)):
+                yield v
+
+    def _defined(self) -> str:
+        """What stands left of the first equals sign: a function that is called, or the first variable."""
+        left = next((self.parts[:i] for i, p in enumerate(self.parts) if p[:2] == ("sign", "=")), [])
+        if left and left[0][0] in ("command", "word") and self._sign(1, "("):
+            return variable(left[0][1])
+        return next((v for kind, text, _ in left if kind != "sign" and (v := variable(text))), "")
 
 
 def formula_roles(latex: str | None) -> tuple[list[str], list[str], list[str]]:
     """(used, bound, defined) variables of a formula, each sorted."""
-    if not latex:
-        return [], [], []
-    bound = {v for m in BINDER.finditer(latex) for v in _names(re.split("[=<>≤≥∈]", m[1], maxsplit=1)[0])}
-    bound |= {v for v in map(variable, re.findall(r"\bd\s*([A-Za-z])\b", latex)) if v}
-    left, equals, _ = latex.partition("=")
-    call = re.match(r"\s*(\\?[A-Za-z][A-Za-z0-9]*)\s*\(", left)
-    lead = (([variable(call[1])] if call else _names(left))[:1] if equals else []) or [""]
-    return sorted(set(_names(latex))), sorted(bound), sorted({lead[0]} - {""})
+    r = FormulaReader(latex or "")
+    return sorted(r.used), sorted(r.bound - {""}), [r.defined] if r.defined else []
 
 
 def formula_variables(latex: Column) -> Column:

@@ -62,7 +62,8 @@ def toc_ranges(toc: DataFrame) -> DataFrame:
 
     One window a level, so a document costs levels x rows; the last entry runs to the end (null).
     """
-    levels = list(range(1, 8))
+    lowest, deepest = toc.agg(F.min("level"), F.max("level")).first()
+    levels = list(range(lowest or 0, (deepest or 0) + 1))
     after = Window.partitionBy("doc").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
     nexts = [F.when(F.col("level") == k, F.first(F.when(F.col("level") <= k, F.col("page")), ignorenulls=True).over(after)) for k in levels]
     return toc.withColumn("page_end", F.greatest("page", F.coalesce(*nexts) - 1))

@@ -81,12 +81,14 @@ def paired_in_clause(passages: DataFrame) -> DataFrame:
 def containment_parents(formulas: DataFrame) -> DataFrame:
     """id, parent: the longest earlier formula that strictly contains the id's latex (three characters at least).
 
-    A containing formula holds every three-character piece of the needle, so the needle's first piece is an equi-join key: no product of all formulas.
+    A containing formula holds every three-character piece of the needle, so the needle's rarest piece is an equi-join key: no product of all formulas.
     """
     rows = formulas.select("id", "seq", T.containment_key(F.col("latex")).alias("key"))
     pieces = lambda key: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(key) - 2), lambda i: F.substring(key, i, F.lit(3))))
     hay = rows.filter(F.length("key") > 3).select(F.col("id").alias("parent"), F.col("seq").alias("pseq"), F.col("key").alias("pkey"), F.explode(pieces(F.col("key"))).alias("piece"))
-    needle = rows.filter(F.length("key") >= 3).withColumn("piece", F.substring("key", 1, 3))
+    common = hay.groupBy("piece").agg(F.count(F.lit(1)).alias("c"))
+    needle = rows.filter(F.length("key") >= 3).select("id", "seq", "key", F.explode(pieces(F.col("key"))).alias("piece")).join(common, "piece")
+    needle = needle.groupBy("id", "seq", "key").agg(F.min(F.struct("c", "piece"))["piece"].alias("piece"))
     hits = needle.join(hay, "piece").filter("pseq < seq AND length(pkey) > length(key) AND contains(pkey, key)")
     best = hits.groupBy("id").agg(F.max(F.struct(F.length("pkey").alias("n"), (-F.col("pseq")).alias("s"), "parent")).alias("x"))
     return best.select("id", "x.parent")
@@ -126,5 +128,6 @@ def canonical_by_cite(formulas: DataFrame) -> DataFrame:
 
 def nearest_lower_label(cites: DataFrame, formulas: DataFrame) -> DataFrame:
     """cites(cite_id, chapter, num), formulas(id, chapter, num): the formula of the chapter with the largest number not above (a backward as-of join)."""
-    rows = cites.join(formulas.select("chapter", F.col("num").alias("fnum"), "id"), "chapter", "left")
-    return rows.groupBy("cite_id").agg(F.max_by("id", F.when(F.col("fnum") <= F.col("num"), F.struct("fnum", "id"))).alias("id"))
+    both = cites.select("chapter", "num", F.lit(1).alias("side"), "cite_id", F.lit(None).alias("id")).unionByName(formulas.select("chapter", "num", F.lit(0).alias("side"), F.lit(None).alias("cite_id"), "id"))
+    upto = Window.partitionBy("chapter").orderBy("num", "side", "id").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("id", F.last("id", ignorenulls=True).over(upto)).filter("side = 1").select("cite_id", "id")

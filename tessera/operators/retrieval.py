@@ -9,32 +9,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import settle
 from ..functions import text as T
 from ..functions import vectors as V
 
 K1, B = 1.5, 0.75
 
 
-def postings(docs: DataFrame, id_col: str = "nid", text_col: str = "body_text") -> DataFrame:
-    """did, term, tf, dl of every document; documents without tokens have one row with a null term, as they count in the averages."""
-    rows = docs.select(F.col(id_col).alias("did"), T.tokens(F.col(text_col)).alias("ts"))
-    rows = rows.select("did", F.size("ts").alias("dl"), F.explode_outer("ts").alias("term"))
-    return rows.groupBy("did", "term").agg(F.count("term").alias("tf"), F.first("dl").alias("dl"))
+#: Terms of queries that may be listed in the plan; with more, they are a join.
+LISTED = 20_000
 
 
-def corpus_stats(docs: DataFrame, text_col: str = "body_text") -> DataFrame:
-    """One row: n_docs and avgdl (at least 1)."""
-    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.greatest(F.avg(F.size(T.tokens(F.col(text_col)))), F.lit(1.0)).alias("avgdl"))
+def tokenised(docs: DataFrame, terms: DataFrame, id_col: str = "nid", text_col: str = "body_text") -> DataFrame:
+    """did, dl and ts, the tokens that are among the terms(term): each document is tokenised once, and what no query asks for is dropped before it is exploded."""
+    listed = [r["term"] for r in terms.select("term").distinct().limit(LISTED + 1).collect()]
+    ts = T.tokens(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("did"), ts.alias("ts")).select("did", F.size("ts").alias("dl"), "ts")
+    if len(listed) <= LISTED:
+        return settle(rows.select("did", "dl", F.filter("ts", lambda t: t.isin(listed)).alias("ts")))
+    return rows
+
+
+def postings(tokens: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, did, tf, dl of the terms."""
+    rows = tokens.select("did", "dl", F.explode("ts").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    return rows.groupBy("term", "did").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+
+
+def corpus_stats(tokens: DataFrame) -> DataFrame:
+    """One row: n_docs (those without tokens count) and avgdl (at least 1)."""
+    return tokens.agg(F.count(F.lit(1)).alias("n_docs"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "nid", text_col: str = "body_text") -> DataFrame:
     """queries(qid, query) -> qid, did, bm25 of documents that share a term; a term that a query repeats counts as often."""
     terms = queries.select("qid", F.explode(T.content_tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qn"))
-    wanted = terms.select("term").distinct()
-    post = postings(docs, id_col, text_col).join(wanted, "term", "left_semi")
+    tokens = tokenised(docs, terms, id_col, text_col)
+    post = postings(tokens, terms)
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = corpus_stats(docs, text_col)  # one row
-    scored = post.join(df, "term").crossJoin(F.broadcast(stats))
+    scored = post.join(df, "term").crossJoin(F.broadcast(corpus_stats(tokens)))  # one row
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     weight = idf * F.col("tf") * (K1 + 1) / F.greatest(F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")), F.lit(1e-9))
     return scored.select("term", "did", weight.alias("w")).join(terms, "term").groupBy("qid", "did").agg(F.sum(F.col("w") * F.col("qn")).alias("bm25"))

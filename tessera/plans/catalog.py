@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import settle
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import citations as C
@@ -347,9 +348,9 @@ def agg20_binary_report(spark, d):
   FROM questions LEFT JOIN (SELECT * FROM ranked WHERE did = qid) USING (qid)""",
 )
 def agg18_ranking_summary(spark, d):
-    ranking = R.ranked(bm25_scores(spark, d).withColumn("bm25", r6(F.col("bm25"))), "bm25", ["did"])
+    scores = settle(bm25_scores(spark, d).withColumn("bm25", r6(F.col("bm25"))))
     gold = load(spark, d, "questions").select("qid", F.col("qid").alias("did"))
-    return E.ranking_summary(E.ranking_scores(ranking, gold)).withColumn("mrr", r6(F.col("mrr")))
+    return E.ranking_summary(E.rank_scores(E.gold_ranks(scores, gold, "bm25"))).withColumn("mrr", r6(F.col("mrr")))
 
 
 @query("mth07_profile", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS max FROM events GROUP BY event_type")
