@@ -132,3 +132,14 @@ def topic_pick(scores: DataFrame, least: float = 0.65, margin: float = 0.07) ->
     w = Window.partitionBy("qid").orderBy(F.col("dense").desc(), "did")
     rows = scores.withColumn("rn", F.row_number().over(w)).withColumn("second", F.lead("dense").over(w))
     return rows.filter((F.col("rn") == 1) & (F.col("dense") >= least) & (F.col("dense") - F.coalesce("second", F.lit(-1.0)) >= margin)).select("qid", "did", "dense")
+
+
+def answer_plan(fused: DataFrame, bm25_rows: DataFrame, docs: DataFrame, queries: DataFrame, k: int = 3, width: int = 5) -> DataFrame:
+    """qid, pos, did, sentence, low: the sentences that answer a query, each with the passage it comes from; low where all its passages are weak.
+
+    fused(qid, did, rrf), bm25_rows(qid, did, bm25), docs(did, body_text), queries(qid, query).
+    """
+    top = ranked(fused, "rrf", ["did"], k).select("qid", "did", "rank")
+    passages = top.join(docs, "did").join(bm25_rows, ["qid", "did"], "left").withColumn("dense", F.lit(0.0))
+    said = answer_windows(passages.select("qid", "did", "body_text"), queries, width)
+    return said.join(low_similarity(passages.select("qid", "dense", "bm25"), queries), "qid").select("qid", "pos", "did", "sentence", "low")

@@ -85,3 +85,11 @@ def treemap(items: DataFrame, width: float = 100.0, height: float = 100.0) -> Da
         return pd.DataFrame([(p, n, *b) for p, n, b in zip(pdf.parent, pdf.nid, boxes, strict=True)], columns=["parent", "nid", "x", "y", "w", "h"])
 
     return items.groupBy("parent").applyInPandas(run, f"parent {items.schema['parent'].dataType.simpleString()}, nid {items.schema['nid'].dataType.simpleString()}, x double, y double, w double, h double")
+
+
+def violations(groups: DataFrame, gap: float, cell: float) -> DataFrame:
+    """scene, a, b, ox, oy: groups nearer to each other than the gap, and by how much they overlap (less than 0: the room between them)."""
+    near = overlaps(groups, cell, gap, drop_contained=False)
+    a, b = (groups.select("scene", F.col("nid").alias(s), *[F.col(c).alias(s + c) for c in "xywh"]) for s in "ab")
+    span = lambda c, d: F.least(F.col(f"a{c}") + F.col(f"a{d}"), F.col(f"b{c}") + F.col(f"b{d}")) - F.greatest(f"a{c}", f"b{c}")
+    return near.join(a, ["scene", "a"]).join(b, ["scene", "b"]).select("scene", "a", "b", span("x", "w").alias("ox"), span("y", "h").alias("oy"))
