@@ -56,6 +56,8 @@ CHUNK = 1 << 21
 GROUP_BYTES = 8 << 20
 #: Documents that meet the set of one hub in a task, roughly.
 HUB_ROWS = 4096
+#: Documents with labels that may be broadcast (16 bytes each).
+LABELS = 500_000
 #: Counters of shingles by hash.
 COUNTERS = 1 << 20
 SPACE = np.zeros(256, bool)
@@ -498,8 +500,8 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
                 raw.append(zstandard.decompress(z.as_py()))
         return dict(zip(keys, shingle_sets(raw, size), strict=True)) if keys else {}
 
-    # What travels: role 0 a set on its way to a check, 1 the set it is held against, 2 a document's point (n in doc2; count vector, then its cells),
-    # 3 a link that was found, 4 a pair to check.
+    # What travels: role 0 a set on its way to a check, 1 the set it is held against, 2 a document's point (n in doc2, width in part2; count vector, digest of the set, its cells),
+    # 3 a link that was found, 4 a pair to check, 5 a set that is kept.
     sent_schema = "role int, g int, doc bigint, part bigint, doc2 bigint, part2 bigint, blob binary"
     sent_names = [x.split()[0] for x in sent_schema.split(", ")]
     sent_kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.binary()]
@@ -550,19 +552,18 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
         for a, b in zip(cuts, [*cuts[1:], len(rows)], strict=True):
             me = (int(rows["doc"][a]), int(rows["part"][a]))
             if me in sets:
-                vector = count_vector(sets[me])
+                vector, digest = count_vector(sets[me]), np.sum(mix(sets[me] * ODD[4]), dtype=np.uint64).tobytes()
                 # a link shares this many cells or more, so it shares one that is not among the last ones of either document
                 some = np.sort(rows["hash"][a:b])[: b - a + 1 - int(rows["need"][a:b].min())]
-                out.append((2, own, *me, len(sets[me]), len(vector), zstandard.compress(vector.tobytes() + some.tobytes(), 1)))
+                out.append((2, own, *me, len(sets[me]), len(vector), zstandard.compress(vector.tobytes() + digest + some.tobytes(), 1)))
         return sent(out)
 
     def hashes(blob: bytes) -> np.ndarray:
         return np.frombuffer(zstandard.decompress(blob), np.uint64)
 
     def check_hubs(table: pa.Table) -> pa.Table:
-        """The links to hubs (role 3); points pass."""
-        points = table.filter(pa.compute.equal(table["role"], 2))
-        table = table.filter(pa.compute.less(table["role"], 2)).sort_by([("doc2", "ascending"), ("part2", "ascending"), ("role", "descending")])
+        """The links to hubs (role 3)."""
+        table = table.sort_by([("doc2", "ascending"), ("part2", "ascending"), ("role", "descending")])
         role, g, doc, part, hub, hub_part = (table[c].to_numpy() for c in sent_names[:6])
         found, last, hub_set = [], None, None
         for i, blob in enumerate(table["blob"]):
@@ -572,33 +573,36 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
                 hub_set = hashes(blob.as_py())
             elif hub_set is not None and linked(hashes(blob.as_py()), hub_set, percent):
                 found.append((3, g[i], doc[i], part[i], hub[i], hub_part[i], None))
-        return pa.concat_tables([points, sent(found)])
+        return sent(found)
 
     members = source.mapInArrow(deal, blobs).groupBy("g").applyInArrow(cells, blobs)
-    chosen = members.groupBy("g").cogroup(texts.groupBy("d")).applyInArrow(choose, sent_schema)
-    checked = settle(chosen.groupBy("g").applyInArrow(check_hubs, sent_schema))
-    near = checked.filter("role = 3").select(node("doc", "part").alias("a"), node("doc2", "part2").alias("b"))
+    chosen = settle(members.groupBy("g").cogroup(texts.groupBy("d")).applyInArrow(choose, sent_schema))
+    near = chosen.filter("role < 2").groupBy("g").applyInArrow(check_hubs, sent_schema).select(node("doc", "part").alias("a"), node("doc2", "part2").alias("b"))
     early = components(near.unionByName(same))
 
     # points: documents of shared cells with their component and count vector, dealt by cell
     component = F.coalesce("label", node("doc", "part"))
-    points = checked.filter("role = 2").join(early, node("doc", "part") == F.col("v"), "left").select("doc", "part", F.col("doc2").alias("n"), (F.xxhash64(component) if apart else component).alias("comp"), F.col("part2").alias("wide"), "blob")
+    few = early.limit(LABELS + 1).count() <= LABELS  # then they are broadcast, else joined by a shuffle
+    points = chosen.filter("role = 2").join(F.broadcast(early) if few else early, node("doc", "part") == F.col("v"), "left").select("doc", "part", F.col("doc2").alias("n"), (F.xxhash64(component) if apart else component).alias("comp"), F.col("part2").alias("wide"), "blob")
     # a document goes to each group of cells once, with those of its cells that are there
-    cell_schema = "g int, doc bigint, part bigint, n int, comp bigint, cells binary, vector binary"
+    cell_schema = "g int, doc bigint, part bigint, n int, comp bigint, digest bigint, cells binary, vector binary"
     point_groups = max(16, groups // 4)  # few cells are left
 
     def spread(batches):
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
+            out, met = [], set()
+            for r in sorted(batch.to_pylist(), key=lambda r: (r["doc"], r["part"])):
                 raw = zstandard.decompress(r["blob"])
+                digest, own = int(np.frombuffer(raw, np.int64, 1, r["wide"])[0]), np.frombuffer(raw, np.uint64, offset=r["wide"] + 8)
+                if (r["comp"], r["n"], digest) in met:  # of copies, which are of one component, one stands for all
+                    continue
+                met.add((r["comp"], r["n"], digest))
                 vector = zstandard.compress(raw[: r["wide"]], 1)
-                own = np.frombuffer(raw[r["wide"] :], np.uint64)
                 to = (own % np.uint64(point_groups)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
                 at = np.flatnonzero(np.diff(to[order], prepend=-1))
                 for lo, hi in zip(at, [*at[1:], len(own)], strict=True):
-                    out.append((int(to[order[lo]]), r["doc"], r["part"], r["n"], r["comp"], own[order[lo:hi]].tobytes(), vector))
+                    out.append((int(to[order[lo]]), r["doc"], r["part"], r["n"], r["comp"], digest, own[order[lo:hi]].tobytes(), vector))
                 if len(out) >= 10_000:
                     yield points_of(out)
                     out = []
@@ -606,7 +610,7 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
                 yield points_of(out)
 
     def points_of(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in cell_schema.split(", ")])
 
     marked_schema = "doc bigint, part bigint, doc2 bigint, part2 bigint, g int, tree int"
@@ -614,6 +618,9 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
 
     def residual(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         """A forest of the pairs of different components that may link, by an R-tree over each cell, and (g and tree given) the documents of each tree."""
+        order = np.lexsort((table["part"].to_numpy(), table["doc"].to_numpy()))
+        _, first = np.unique(np.stack([table[c].to_numpy()[order].astype(np.int64) for c in ("comp", "n", "digest")], 1), axis=0, return_index=True)
+        table = table.take(pa.array(order[np.sort(first)]))  # one of copies, which are of one component
         stored, memory = table["vector"], {}
 
         def vector(i: int) -> np.ndarray:
