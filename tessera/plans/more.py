@@ -152,10 +152,10 @@ def jsn05_levels(spark, d):
 # Lookups
 
 
-@query("jon06_figures_concepts", "SELECT DISTINCT p.p_brand AS cid, f.p_partkey AS fid FROM part p JOIN part f ON p.p_size = f.p_size WHERE f.p_partkey % 20 = 0")
+@query("jon06_figures_concepts", "SELECT DISTINCT p.p_brand AS cid, f.p_partkey AS fid FROM part p JOIN part f ON p.p_size = f.p_size")
 def jon06_figures_concepts(spark, d):
     part = load(spark, d, "part")
-    return L.together(part.select(F.col("p_size").alias("home"), F.col("p_brand").alias("cid")), part.filter("p_partkey % 20 = 0").select(F.col("p_size").alias("home"), F.col("p_partkey").alias("fid")), "home", "cid", "fid")
+    return L.together(part.select(F.col("p_size").alias("home"), F.col("p_brand").alias("cid")), part.select(F.col("p_size").alias("home"), F.col("p_partkey").alias("fid")), "home", "cid", "fid")
 
 
 KEY = r"lower(trim(regexp_replace({0}, '\s+', ' ', 'g')))"
