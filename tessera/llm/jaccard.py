@@ -24,7 +24,7 @@ the threshold.  All links are found, none is guessed:
 
 Cells are taken by rarity, so a passage that a third of all documents share is met only by
 documents made of little else.  Shuffled are about 12 bytes per dealt shingle, the
-compressed texts once for each of the two verifications, the sets of documents that are verified, and
+compressed texts once for each of the two verifications and once more for each check of a document, and
 count vectors (size to twice that of small numbers) of documents in shared cells.  The documents of one cell that come
 as far as step 3 or 5 are held by one task; hubs with many documents meet them in several.
 
@@ -491,17 +491,28 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
 
     texts = source.mapInArrow(compress, "d int, doc bigint, part bigint, z binary")
 
-    def wanted_sets(texts: pa.Table, wanted: set[tuple[int, int]]) -> dict[tuple[int, int], np.ndarray]:
-        keys, raw = [], []
+    def wanted_texts(texts: pa.Table, wanted: set[tuple[int, int]]) -> dict[tuple[int, int], bytes]:
+        """Compressed texts of the wanted documents."""
+        found: dict[tuple[int, int], bytes] = {}
         for doc, part, z in zip(texts["doc"].to_pylist(), texts["part"].to_pylist(), texts["z"], strict=True):
-            if (doc, part) in wanted:
-                wanted.discard((doc, part))
-                keys.append((doc, part))
-                raw.append(zstandard.decompress(z.as_py()))
-        return dict(zip(keys, shingle_sets(raw, size), strict=True)) if keys else {}
-
-    # What travels: role 0 a set on its way to a check, 1 the set it is held against, 2 a document's point (n in doc2, width in part2; count vector, digest of the set, its cells),
-    # 3 a link that was found, 4 a pair to check, 5 a set that is kept.
+            if (doc, part) in wanted and (doc, part) not in found:
+                found[doc, part] = z.as_py()
+        return found
+
+    def sets_in(blobs) -> Iterator[np.ndarray]:
+        """The sets of compressed texts, hashed some at a time."""
+        held, size_held = [], 0
+        for blob in blobs:
+            held.append(zstandard.decompress(blob))
+            size_held += len(held[-1])
+            if size_held >= CHUNK:
+                yield from shingle_sets(held, size)
+                held, size_held = [], 0
+        if held:
+            yield from shingle_sets(held, size)
+
+    # What travels (sets as compressed texts, a third of their hashes): role 0 a set on its way to a check, 1 the set it is held against,
+    # 2 a document's point (n in doc2, width in part2; count vector, digest of the set, its cells), 3 a link that was found, 4 a pair to check, 5 a set that is kept.
     sent_schema = "role int, g int, doc bigint, part bigint, doc2 bigint, part2 bigint, blob binary"
     sent_names = [x.split()[0] for x in sent_schema.split(", ")]
     sent_kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.binary()]
@@ -527,7 +538,8 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
         rows = rows[np.concatenate([enough(rows["need"][a:b]) for a, b in zip(cuts, [*cuts[1:], len(rows)], strict=True)])]
         if not len(rows):
             return sent([])
-        sets = wanted_sets(texts, set(zip(rows["doc"].tolist(), rows["part"].tolist(), strict=True)))
+        held = wanted_texts(texts, set(zip(rows["doc"].tolist(), rows["part"].tolist(), strict=True)))
+        sets = dict(zip(held, sets_in(held.values()), strict=True))
         out = []
         rows = rows[np.lexsort((rows["hub_part"], rows["hub"], rows["part"], rows["doc"]))]
         new = np.concatenate([[True], np.any([rows[c][1:] != rows[c][:-1] for c in ("doc", "part", "hub", "hub_part")], axis=0)])
@@ -537,8 +549,7 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
             me, hub = (int(r["doc"]), int(r["part"])), (int(r["hub"]), int(r["hub_part"]))
             if me == hub:
                 if me in sets and c >= least_cells(int(r["n"]), int(r["n"]), percent):
-                    blob = zstandard.compress(sets[me].tobytes(), 1)
-                    out += [(1, g, *me, *me, blob) for g in {group_of(*me, k) for k in range(shares(largest))}]
+                    out += [(1, g, *me, *me, held[me]) for g in {group_of(*me, k) for k in range(shares(largest))}]
                 continue
             small, large = sorted((int(r["n"]), int(r["hub_n"])))
             if 100 * small >= percent * large and c >= least_cells(small, large, percent):
@@ -546,7 +557,7 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
         for me, (_, hub, hub_part, largest) in best.items():
             if me in sets:
                 share = int(mix(np.array([me[0] ^ me[1]], np.int64).astype(np.uint64))[0]) % shares(largest)
-                out.append((0, group_of(-hub, -hub_part, share), *me, -hub, -hub_part, zstandard.compress(sets[me].tobytes(), 1)))
+                out.append((0, group_of(-hub, -hub_part, share), *me, -hub, -hub_part, held[me]))
         own = key[0].as_py()
         cuts = np.flatnonzero(np.concatenate([[True], (rows["doc"][1:] != rows["doc"][:-1]) | (rows["part"][1:] != rows["part"][:-1])]))
         for a, b in zip(cuts, [*cuts[1:], len(rows)], strict=True):
@@ -558,20 +569,17 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
                 out.append((2, own, *me, len(sets[me]), len(vector), zstandard.compress(vector.tobytes() + digest + some.tobytes(), 1)))
         return sent(out)
 
-    def hashes(blob: bytes) -> np.ndarray:
-        return np.frombuffer(zstandard.decompress(blob), np.uint64)
-
     def check_hubs(table: pa.Table) -> pa.Table:
         """The links to hubs (role 3)."""
         table = table.sort_by([("doc2", "ascending"), ("part2", "ascending"), ("role", "descending")])
         role, g, doc, part, hub, hub_part = (table[c].to_numpy() for c in sent_names[:6])
         found, last, hub_set = [], None, None
-        for i, blob in enumerate(table["blob"]):
+        for i, own in enumerate(sets_in(x.as_py() for x in table["blob"])):
             if (hub[i], hub_part[i]) != last:
                 last, hub_set = (hub[i], hub_part[i]), None
             if role[i]:
-                hub_set = hashes(blob.as_py())
-            elif hub_set is not None and linked(hashes(blob.as_py()), hub_set, percent):
+                hub_set = own
+            elif hub_set is not None and linked(own, hub_set, percent):
                 found.append((3, g[i], doc[i], part[i], hub[i], hub_part[i], None))
         return sent(found)
 
@@ -669,11 +677,10 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
             to.add(target)
             if r["role"] == 0:
                 out.append((4, target, r["doc"], r["part"], r["doc2"], r["part2"], None))
-        for me, s in (wanted_sets(texts, set(wanted)) if rows else {}).items():
-            blob = zstandard.compress(s.tobytes(), 1)
+        for me, blob in (wanted_texts(texts, set(wanted)) if rows else {}).items():
             out += [(0, target, *me, *me, blob) for target in sorted(wanted[me])]
             if me in kept:
-                out.append((5, group_of(*me), *me, len(s), 0, blob))
+                out.append((5, group_of(*me), *me, *me, blob))
         return sent(out)
 
     def check_pairs(table: pa.Table) -> pa.Table:
@@ -684,16 +691,16 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
         for r in sorted(table.filter(pa.compute.equal(table["role"], 4)).to_pylist(), key=lambda r: (r["doc"], r["part"])):
             me, other = (r["doc"], r["part"]), (r["doc2"], r["part2"])
             if me != last:
-                last, own = me, hashes(sets[me])
-            if linked(own, hashes(sets[other]), percent):
+                last, own = me, next(sets_in([sets[me]]))
+            if linked(own, next(sets_in([sets[other]])), percent):
                 found.append((3, r["g"], *me, *other, None))
         return pa.concat_tables([kept, sent(found)])
 
     def settle_tree(table: pa.Table) -> pa.Table:
         """Links among the documents of a tree that join its components."""
-        sets = [hashes(x.as_py()) for x in table["blob"]]
-        vectors = [count_vector(x) for x in sets]
-        n, comp, doc, part = (table[c].to_numpy() for c in ("n", "comp", "doc", "part"))
+        sets = list(sets_in(x.as_py() for x in table["blob"]))
+        vectors, n = [count_vector(x) for x in sets], np.array(list(map(len, sets)))
+        comp, doc, part = (table[c].to_numpy() for c in ("comp", "doc", "part"))
         edges, _ = forest([np.zeros(1, np.uint64)] * len(sets), n, comp, vectors.__getitem__, percent, lambda i, j: linked(sets[i], sets[j], percent))
         i, j = np.array(edges, np.int64).reshape(-1, 2).T
         return pa.table([pa.array(x) for x in (doc[i], part[i], doc[j], part[j])], PAIR.names)
@@ -708,7 +715,7 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
     torn = settle(placed.groupBy("g", "tree").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("g", "tree"))
     if torn.limit(1).count():
         placed = placed.join(torn, ["g", "tree"]).withColumn("comp", F.xxhash64("comp") if apart else F.col("comp"))
-        placed = placed.join(late.filter("role = 5").select("doc", "part", F.col("doc2").cast("int").alias("n"), "blob"), ["doc", "part"])
+        placed = placed.join(late.filter("role = 5").select("doc", "part", "blob"), ["doc", "part"])
         labels = components(edges_of(labels).unionByName(ends(placed.groupBy("g", "tree").applyInArrow(settle_tree, pair_schema))))
     result = sizes.join(labels, node("doc", "part") == labels["v"], "left")
     if apart:
