@@ -49,10 +49,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
-from .external import BYTE, NONE, ODD, RUN, Sorter, dealt, doc_group, expand, mix, record
+from .external import BYTE, NONE, ODD, RUN, Sorter, dealt, doc_group, expand, mix, record, release
 
 #: Bytes of text of one array operation, and of one group of documents or shingles on average.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 GROUP_BYTES = 8 << 20
 #: Documents that meet the set of one hub in a task, roughly.
 HUB_ROWS = 4096
@@ -409,6 +409,7 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
         some = [i for i in range(64) if slices[i].any()]
         zero = pa.array(np.zeros(len(some), np.int64))
         yield pa.RecordBatch.from_arrays([zero] * 6 + [pa.array([i + 64 * (TaskContext.get().partitionId() % 64) for i in some], pa.int32()), pa.array([zstandard.compress(slices[i].tobytes(), 1) for i in some], pa.binary())], names)
+        release()
 
     def summed(modulus: int):
         def run(table: pa.Table) -> pa.Table:
@@ -460,6 +461,8 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
                 held, size_held, met = [], 0, {}
         if held:
             yield flush()
+        held, met = [], {}
+        release()
 
     def cells(table: pa.Table) -> pa.Table:
         """Members of cells with several documents, each with the cell's hub, dealt by document."""
@@ -488,6 +491,7 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
             group = doc_group(batch.column(0).to_numpy(), batch.column(1).to_numpy(), groups)
             z = [zstandard.compress(x.as_buffer() if x.as_buffer().size else b"", 1) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), batch.column(0), batch.column(1), pa.array(z, pa.binary())], ["d", "doc", "part", "z"])
+        release()
 
     texts = source.mapInArrow(compress, "d int, doc bigint, part bigint, z binary")
 
@@ -616,6 +620,7 @@ def link(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_i
                     out = []
             if out:
                 yield points_of(out)
+        release()
 
     def points_of(rows: list[tuple]) -> pa.RecordBatch:
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
+from .external import release
 from .tokens import encoder, vocabulary
 
 SEGMENT = 1 << 20
@@ -206,6 +207,8 @@ def pack(docs: DataFrame, size: int = 4096, tokenizer: str = "word_bpe_49k.json"
                 finish()
             if out:
                 yield table()
+            code.forget()
+            release()
 
         return run
 

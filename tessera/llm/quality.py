@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .external import release
+
 # Common words of English, German, French and Spanish.
 COMMON = frozenset(
     """the of and to in a is that for it as was with be by on not he his but at are this have from or an they which one you were her all she there would their we him been
@@ -178,6 +180,7 @@ def score_rows(docs: DataFrame, trees: Trees, text_col: str = "text", score_col:
             texts = batch.column(at).to_pylist()
             score = np.concatenate([trees.score(matrix(texts[i : i + 1000])) for i in range(0, len(texts), 1000)]) if texts else np.empty(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, score_col])
+        release()
 
     from pyspark.sql import types as T
 

@@ -74,6 +74,11 @@ class Encoder:
             return b"".join(map(self._piece, PIECE.findall(chunk.lower())))
         return np.array(self.whole.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def forget(self) -> None:
+        """Drops what was remembered of pieces and chunks."""
+        self.pieces.clear()
+        self.chunks.clear()
+
     def encode(self, text: str) -> bytes:
         """The text's ids, little-endian unsigned 32-bit."""
         if ODD_BLANKS.search(text):
