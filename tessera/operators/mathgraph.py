@@ -5,7 +5,9 @@ Upserts are aggregates over a log of additions ordered by `seq`, so a build is o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -13,6 +15,8 @@ from ..functions import text as T
 # The edge types of the graph, and those that count as anchors of a passage.
 EDGE_TYPES = "uses binds defines references about paired_in_clause instance_of derived_from related_to specializes contains coreferent mentions".split()
 ANCHOR_TYPES = "about paired_in_clause references mentions uses defines related_to instance_of".split()
+#: Sizes of the pieces by which formulas that contain others are found; longer ones are in fewer formulas.
+PIECES = (3, 6, 12, 24, 48)
 
 
 def upsert_edges(log: DataFrame) -> DataFrame:
@@ -78,20 +82,34 @@ def paired_in_clause(passages: DataFrame) -> DataFrame:
     return one.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(one.select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight"))
 
 
-def containment_parents(formulas: DataFrame) -> DataFrame:
+def containment_parents(formulas: DataFrame, rank: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """id, parent: the longest earlier formula that strictly contains the id's latex (three characters at least).
 
-    A containing formula holds every three-character piece of the needle, so the needle's rarest piece is an equi-join key: no product of all formulas.
+    Copies of a key are contained alike, and of those that contain it the first is the earliest and wins: so distinct keys are joined, each with its first
+    formula. A containing key holds every piece of the needle; the needle's rarest piece, of the largest of the sizes PIECES that fits it, is the join key.
+    Of the containing keys of one length again the first wins, so a key keeps one of each length, among which each of its formulas takes the best that is
+    earlier than itself. `rank` of (length, seq) is what the best has most of; it has to fall with seq within a length.
     """
-    rows = formulas.select("id", "seq", T.containment_key(F.col("latex")).alias("key"))
-    pieces = lambda key: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(key) - 2), lambda i: F.substring(key, i, F.lit(3))))
-    hay = rows.filter(F.length("key") > 3).select(F.col("id").alias("parent"), F.col("seq").alias("pseq"), F.col("key").alias("pkey"), F.explode(pieces(F.col("key"))).alias("piece"))
+    rank = rank or (lambda n, seq: F.struct(n.alias("n"), (-seq).alias("s")))
+    rows = formulas.select("id", "seq", T.containment_key(F.col("latex")).alias("key")).filter(F.length("key") >= PIECES[0])
+    keys = rows.groupBy("key").agg(F.max(F.struct((-F.col("seq")).alias("s"), "id")).alias("x")).select("key", F.length("key").alias("n"), (-F.col("x.s")).alias("pseq"), F.col("x.id").alias("parent"))
+
+    def pieces(key: Column, size: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(key) - size + 1), lambda i: F.substring(key, i, F.lit(size)))
+
+    shorter = [F.when(F.col("n") > size, pieces(F.col("key"), size)).otherwise(F.array().cast("array<string>")) for size in PIECES]
+    hay = keys.filter(F.col("n") > PIECES[0]).select("parent", "pseq", F.col("n").alias("pn"), F.col("key").alias("pkey"), F.explode(F.array_distinct(F.concat(*shorter))).alias("piece"))
     common = hay.groupBy("piece").agg(F.count(F.lit(1)).alias("c"))
-    needle = rows.filter(F.length("key") >= 3).select("id", "seq", "key", F.explode(pieces(F.col("key"))).alias("piece")).join(common, "piece")
-    needle = needle.groupBy("id", "seq", "key").agg(F.min(F.struct("c", "piece"))["piece"].alias("piece"))
-    hits = needle.join(hay, "piece").filter("pseq < seq AND length(pkey) > length(key) AND contains(pkey, key)")
-    best = hits.groupBy("id").agg(F.max(F.struct(F.length("pkey").alias("n"), (-F.col("pseq")).alias("s"), "parent")).alias("x"))
-    return best.select("id", "x.parent")
+    fits = F.coalesce(*[F.when(F.col("n") >= size, pieces(F.col("key"), size)) for size in reversed(PIECES)])
+    needle = keys.select("key", "n", F.explode(F.array_distinct(fits)).alias("piece")).join(common, "piece", "left")
+    needle = needle.groupBy("key", "n").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "piece"))["piece"].alias("piece"))
+    hits = needle.join(hay, "piece").filter("pn > n AND contains(pkey, key)")
+    firsts = hits.groupBy("key", "pn").agg(F.max(F.struct((-F.col("pseq")).alias("s"), "parent")).alias("x"))
+    firsts = firsts.groupBy("key").agg(F.collect_list(F.struct("pn", (-F.col("x.s")).alias("pseq"), "x.parent")).alias("firsts"))
+    earlier = F.filter("firsts", lambda x: x["pseq"] < F.col("seq"))
+    best = F.array_max(F.transform(earlier, lambda x: F.struct(rank(x["pn"].cast("long"), x["pseq"]).alias("r"), x["parent"].alias("parent"))))
+    found = rows.join(firsts, "key").select("id", best.alias("x")).filter("x IS NOT NULL")
+    return found.groupBy("id").agg(F.max("x").alias("x")).select("id", "x.parent")
 
 
 def coverage_report(passages: DataFrame, edges: DataFrame) -> DataFrame:

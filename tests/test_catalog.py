@@ -52,3 +52,18 @@ def test_word_times_of_all_turns(spark, sf_dir, tmp_path, long):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def check_odd(spark, tmp_path, name, table, rows, schema):
+    """The query against its SQL on these rows of one table."""
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{table}.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    got, want = entry.queries()[name](spark, str(tmp_path)).toPandas(), con.execute(entry.oracle_sql()[name]).df()
+    assert len(want) and values(got, sorted(want.columns)) == values(want, sorted(want.columns))
+
+
+def test_containment_of_odd_parts(spark, tmp_path):
+    """Parts without type, and keys so far apart that the SQL takes an earlier parent before a longer one."""
+    parts = [(1, "ab#1", None, 5), (2, "ab#1", "x", 5), (4, "ab#1", None, 7), (5, None, "x", 5), (6, "ab#1", None, None), (3000001, "ab#1", "xy", 5), (3000003, "ab#1", "q", 1)]
+    check_odd(spark, tmp_path, "jon10_containment", "part", parts, "p_partkey long, p_brand string, p_type string, p_size int")

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,3 +152,49 @@ def test_boxes(spark):
 def test_router(spark, text, intent):
     sections = spark.createDataFrame([("5.8",)], "number string")
     assert router.route(spark.createDataFrame([(text,)], "text string"), sections).first()["intent"] == intent
+
+
+def joined(df):
+    """Rows that the joins of a query, once run, have put out."""
+    total, stack = 0, [df._jdf.queryExecution().executedPlan()]
+    while stack:
+        node = stack.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            stack.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            stack.append(node.plan())
+        else:
+            total += node.metrics().apply("numOutputRows").value() if kind.endswith("JoinExec") else 0
+            stack += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_containment_of_copies(spark):
+    n = 1500
+    f = spark.range(n).select(F.concat(F.lit("f"), "id").alias("id"), F.col("id").alias("seq"), F.when(F.col("id") % 2 == 1, "abc").otherwise("abc+de").alias("latex"))
+    found = G.containment_parents(f)
+    assert rows(found) == sorted([(f"f{i}", "f0") for i in range(1, n, 2)], key=str)
+    assert 0 < joined(found) <= 4 * n  # pairs of all copies: n * n / 8
+
+
+@pytest.mark.parametrize("long", [False, True])
+def test_containment_equals_brute_force(spark, long):
+    rng = random.Random(7)
+    unit = "abcdefghijklmnopqrstuvwxyzäβ𝛼" if long else "ab"
+    texts = ["".join(rng.choices(unit, k=rng.randint(1, 130 if long else 9))) for _ in range(90)]
+    for _ in range(160):
+        t = rng.choice(texts)
+        i = rng.randrange(len(t))
+        texts.append(rng.choice([t, t[i : i + rng.randint(1, 99)], t[:i] + " " + t[i:], t + rng.choice(texts)]))
+    rng.shuffle(texts)
+    keys = [t.replace(" ", "") for t in texts]
+    for rank, score in ((None, lambda n, seq: (n, -seq)), (lambda n, seq: n * 4 - seq, lambda n, seq: n * 4 - seq)):
+        want = {}
+        for i, key in enumerate(keys):
+            over = [j for j in range(i) if len(keys[j]) > len(key) >= 3 and key in keys[j]]
+            if over:
+                want[i] = max(score(len(keys[j]), j) for j in over)
+        f = spark.createDataFrame(list(enumerate(texts)), "id int, latex string").withColumn("seq", F.col("id").cast("long"))
+        got = {r["id"]: score(len(keys[r["parent"]]), r["parent"]) for r in G.containment_parents(f, rank).collect()}
+        assert want and got == want
